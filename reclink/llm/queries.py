@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reclink.llm import bpe, chat, packing, pii, sharding, simhash
+from reclink.llm import bpe, chat, packing, pii, sharding, simhash, suffixes
 from reclink.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), span=100)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"), width=3, radius=3)
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
+    "op7_suffixes": op7_suffixes,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_chat": op10_chat,
