@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reclink.llm import bpe, chat, packing, pii, quality, sharding, simhash, suffixes
+from reclink.llm import bpe, chat, media, packing, pii, quality, sentences, sharding, simhash, suffixes
 from reclink.llm.common import table
 
 
@@ -16,6 +16,27 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.remove_repeats(table(spark, sf_dir, "documents"), run=3)
+
+
+OP2_SQL = r"""
+WITH t AS (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s
+  FROM documents),
+r AS (SELECT doc_id, s, unnest(range(0, len(s) - 2)) AS at FROM t WHERE len(s) >= 3),
+f AS (SELECT doc_id, at, row_number() OVER (PARTITION BY s[at + 1 : at + 3] ORDER BY doc_id, at) AS rn FROM r),
+g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(at, at + 3)) AS i FROM f WHERE rn > 1) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       array_to_string(list_filter(s, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10)) AS kept
+FROM t LEFT JOIN g ON t.doc_id = g.doc_id
+"""
+
+
+def op3_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.media(table(spark, sf_dir, "documents")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,6 +71,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_sentences": op2_sentences,
+    "op3_avi": op3_avi,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
@@ -59,4 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_sentences": OP2_SQL,
+}
