@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,28 @@ def materialize(df: DataFrame) -> DataFrame:
 def whole_text(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray | list]]:
+    """Columns of rows sorted by the first column, in pieces of about ``least`` rows that never part equal first values."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def columns(table: pa.Table) -> list:
+        return [c.combine_chunks().to_pylist() if pa.types.is_binary(c.type) else c.combine_chunks() for c in table.columns]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        last = b.column(0)[b.num_rows - 1].as_py()
+        if size < least or held[0].column(0)[0].as_py() == last:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = int(np.flatnonzero(table.column(0).to_numpy() != last)[-1]) + 1
+        yield columns(table.slice(0, cut))
+        held = table.slice(cut).combine_chunks().to_batches()
+        size = table.num_rows - cut
+    if held:
+        yield columns(pa.Table.from_batches(held))

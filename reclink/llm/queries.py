@@ -24,9 +24,9 @@ OP2_SQL = r"""
 WITH t AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s
   FROM documents),
-r AS (SELECT doc_id, s, unnest(range(0, len(s) - 2)) AS at FROM t WHERE len(s) >= 3),
-f AS (SELECT doc_id, at, row_number() OVER (PARTITION BY s[at + 1 : at + 3] ORDER BY doc_id, at) AS rn FROM r),
-g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(at, at + 3)) AS i FROM f WHERE rn > 1) GROUP BY doc_id)
+r AS (SELECT doc_id, s, unnest(range(0, len(s) - 2)) AS pos FROM t WHERE len(s) >= 3),
+f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY s[pos + 1 : pos + 3] ORDER BY doc_id, pos) AS rn FROM r),
+g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(pos, pos + 3)) AS i FROM f WHERE rn > 1) GROUP BY doc_id)
 SELECT t.doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
        array_to_string(list_filter(s, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10)) AS kept
 FROM t LEFT JOIN g ON t.doc_id = g.doc_id

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclink.llm.common import materialize
+from reclink.llm.common import materialize, runs
 
 #: Bytes of an anchor substring; strings of ``span`` bytes hold ``span - GRAM + 1`` of them.
 GRAM = 32
@@ -171,31 +171,6 @@ def frequent(texts: DataFrame, span: int, hot: int = HOT) -> np.ndarray:
     return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray | list]]:
-    """Columns of rows sorted by the first column, in pieces of about ``least`` rows that never part equal first values."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def columns(table: pa.Table) -> list:
-        return [c.combine_chunks().to_pylist() if pa.types.is_binary(c.type) else c.combine_chunks() for c in table.columns]
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        size += b.num_rows
-        last = b.column(0)[b.num_rows - 1].as_py()
-        if size < least or held[0].column(0)[0].as_py() == last:
-            continue
-        table = pa.Table.from_batches(held)
-        cut = int(np.flatnonzero(table.column(0).to_numpy() != last)[-1]) + 1
-        yield columns(table.slice(0, cut))
-        held = table.slice(cut).combine_chunks().to_batches()
-        size = table.num_rows - cut
-    if held:
-        yield columns(pa.Table.from_batches(held))
-
-
 def repeats(texts: DataFrame, span: int, hot: np.ndarray) -> DataFrame:
     """``key, place, anchor, open``: repeated regions, and (``open``) regions that share their anchor with other regions or hold it twice."""
 
@@ -216,7 +191,7 @@ def repeats(texts: DataFrame, span: int, hot: np.ndarray) -> DataFrame:
                 )
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, r, key, place in _runs(batches, 1 << 16):
+        for a, r, key, place in runs(batches, 1 << 16):
             done = r.is_null().to_numpy(zero_copy_only=False)
             a, r, key, place = a.to_numpy(), r.fill_null(0).to_numpy(), key.to_numpy(), place.to_numpy()
             settled = [key[done], place[done], a[done], np.zeros(done.sum(), bool)]
@@ -352,7 +327,7 @@ def spans(docs: DataFrame, packed: DataFrame, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([key] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(parts, pa.binary())], ["anchor", "key", "place", "part"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, key, place, parts in _runs(batches, SORT_STRINGS // 50):
+        for anchor, key, place, parts in runs(batches, SORT_STRINGS // 50):
             made = covered(anchor.to_numpy(), key.to_numpy(), place.to_numpy(), parts, span)
             yield pa.RecordBatch.from_arrays([*map(_long, made)], ["key", "start", "stop", "mark"])
 
