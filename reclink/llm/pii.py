@@ -246,10 +246,10 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
+def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False, others: list[str] | None = None) -> DataFrame:
     """``id_column, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` and, with ``keep_text``, ``redacted``.
 
-    The counts are of plain spans, ``n_added`` of the others; ``spans`` lists all of them. A null text is empty and has no spans; a null
+    Columns named in ``others`` come along. The counts are of plain spans, ``n_added`` of the others; ``spans`` lists all of them. A null text is empty and has no spans; a null
     id stays null; repeated rows give repeated rows; other columns of any name are not read.
     """
 
@@ -262,10 +262,10 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 row += [hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + added), len(added)]
                 rows.append(row + [redact(text or "", base + added)] * keep_text)
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()] + [pa.string()] * keep_text
-            columns = [b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"] + ["redacted"] * keep_text)
+            columns = [b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"] + ["redacted"] * keep_text + list(others or []))
 
-    kind = dict(docs.dtypes)[id_column]
-    extra = ", redacted string" * keep_text
-    plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return plain.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long{extra}").withColumnRenamed("doc_id", id_column)
+    kinds = dict(docs.dtypes)
+    extra = ", redacted string" * keep_text + "".join(f", `{c}` {kinds[c]}" for c in others or [])
+    plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), *(others or []))
+    return plain.mapInArrow(run, f"doc_id {kinds[id_column]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long{extra}").withColumnRenamed("doc_id", id_column)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclink.llm.common import materialize
+from reclink.llm.common import materialize, runs
 from reclink.llm.components import components
 
 #: Most points in the driver's sample, points to aim at in a shard, and shards to aim at on small tables.
@@ -180,3 +180,111 @@ def near_copies(docs: DataFrame, width: int = 3, radius: int = 3, id_column: str
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return found.join(classes, "fp").select(F.col("doc_id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Sketch of the wider search: bins of one byte, and bands of ``ROWS`` minima each.
+BINS, BANDS, ROWS = 256, 14, 4
+#: Points of one band key that are compared in one task; more are dealt into blocks.
+BLOCK_POINTS = 3_000
+_SEEDS = np.random.default_rng(20_240_602).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(text: str, width: int) -> tuple[int, int, bytes, list[int]]:
+    """(hash of the set of ``width``-word shingles, SimHash of that set, byte sketch, band keys).
+
+    The sketch holds, for each bin of the shingle hashes, one byte of the least hash in it (0: none), so the share of equal bytes
+    among bins that either text fills estimates the sets' similarity. A band key joins ``ROWS`` minima under different hash functions.
+    """
+    words = text.encode().lower().split()
+    n, k = len(words), min(width, len(words))
+    joined = b" ".join(words)
+    stops, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        stops.append(at)
+    starts = [0, *(s + 1 for s in stops[: n - k])]
+    h = np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops[k - 1 :])] if n else [0], dtype="<u8"))
+    ones = sum(np.unpackbits(h[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for lo in range(0, len(h), 65536))
+    fp = int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+    bins = np.zeros(BINS, np.uint8)
+    by_bin = (h & np.uint64(BINS - 1)).astype(np.int64)
+    order = np.lexsort((h, by_bin))
+    first = order[np.concatenate([[True], np.diff(by_bin[order]) > 0])]
+    bins[by_bin[first]] = ((h[first] >> np.uint64(8)) % np.uint64(255)).astype(np.uint8) + 1
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(h), 4096):
+            least = np.minimum(least, (((h[lo : lo + 4096, None] ^ _SEEDS[0]) * _SEEDS[1]) ^ (h[lo : lo + 4096, None] >> np.uint64(29))).min(axis=0))
+    bands = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+    return xxhash.xxh64_intdigest(h.tobytes(), 7), fp, bins.tobytes(), bands
+
+
+def similarity(bins: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of one sketch to each of others."""
+    same = ((others == bins) & (bins > 0)).sum(axis=1)
+    return same / np.maximum(((others > 0) | (bins > 0)).sum(axis=1), 1)
+
+
+def similar_forest(fps: np.ndarray, bins: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
+    """Edges (indices) that span the links among points of one bucket: near fingerprints, then near sketches."""
+    edges, left = [], np.arange(len(fps))
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        queue = [root]
+        while queue and len(left):
+            at = queue.pop()
+            near = np.flatnonzero(distance(fps[left], fps[at]) <= radius)
+            near = near[similarity(bins[at], bins[left[near]]) >= least]
+            if len(near):
+                new = left[near]
+                edges += [(root, k) for k in new.tolist()]
+                queue += new.tolist()
+                left = np.delete(left, near)
+    return edges
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 22, margin: float = 0.015, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``id_column, component_id`` for rows with ids: groups of texts whose shingle sets have a similarity of ``least`` or more.
+
+    At a similarity of 0.8 fingerprints differ in some ten bits (up to 20), and trees over 64 bits cannot part points within such a
+    radius. So fingerprints meet by band keys first (of pairs at 0.8 one in 1800 shares none), and are linked there if they
+    lie within ``radius`` and their sketches agree in ``least - margin`` of the bins. Equal shingle sets are one point. All links of a bucket count, in blocks
+    where it is large. Null texts have no shingles and are equal; rows with a null id are left out; repeated rows are one row; an empty table gives none.
+    """
+    kind = dict(docs.dtypes)[id_column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [sketch(t or "", width) for t in b.column(1).to_pylist()]
+            signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(made) + 1, BANDS), pa.int32()), pa.array(signed([k for m in made for k in m[3]]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed([m[0] for m in made])), pa.array(signed([m[1] for m in made])), pa.array([m[2] for m in made], pa.binary()), bands], ["doc_id", "point", "fp", "bins", "bands"])
+
+    named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL")
+    found = materialize(named.mapInArrow(run, f"doc_id {kind}, point long, fp long, bins binary, bands array<long>"))
+    points = materialize(found.groupBy("point").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("bands").alias("bands")))
+    keys = points.select("point", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK_POINTS).cast("int")
+    met = keys.join(shared, "band").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("point"), "blocks").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "point")
+    dealt = met.join(points.select("point", "fp", "bins"), "point").select("shard", "point", "fp", "bins")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, point, fp, bins in runs(batches, 4096):
+            shard, point, fp = shard.to_numpy(), point.to_numpy(), fp.to_numpy().view(np.uint64)
+            rows = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
+            begin = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            edges: list[tuple[int, int]] = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)]):
+                edges += [(a + i, a + j) for i, j in similar_forest(fp[a:b], rows[a:b], radius, least - margin)] if b - a > 1 else []
+            pairs = point[np.array(edges, dtype=np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+    edges = dealt.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(link, "a long, b long")
+    roots = components(edges).withColumnRenamed("node", "point")
+    rooted = points.select("point", "first").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
+    least_id = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = rooted.join(least_id, "root").select("point", "component_id")
+    return found.select("doc_id", "point").distinct().join(classes, "point").select(F.col("doc_id").alias(id_column), "component_id")

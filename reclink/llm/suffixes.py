@@ -349,8 +349,21 @@ def merged(found: list[dict] | None, mark: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, span: int = 100, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
-    """``id_column, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep_text``, the remaining bytes ``kept``.
+def whole_characters(text: bytes, gone: list[tuple[int, int]]) -> str:
+    """What spans leave of a UTF-8 text; of a character that a span cuts, the rest goes as well."""
+    kept, at = [], 0
+    for start, stop in gone:
+        while start > at and start < len(text) and text[start] & 0xC0 == 0x80:
+            start -= 1
+        kept.append(text[at:start] if start > at else b"")
+        at = max(at, stop)
+        while at < len(text) and text[at] & 0xC0 == 0x80:
+            at += 1
+    return b"".join([*kept, text[at:]]).decode()
+
+
+def remove_repeats(docs: DataFrame, span: int = 100, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False, others: list[str] | None = None) -> DataFrame:
+    """``id_column, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep_text``, the remaining bytes ``kept`` and whole characters ``kept_text``; columns named in ``others`` come along.
 
     Removes each byte covered by a string of ``span`` bytes that also starts earlier: in a row of smaller id, or earlier in the same
     row. Ids are whole numbers; a null id stays null and is smaller than others. A null or empty text has no bytes. Repeated rows (same id and
@@ -358,12 +371,13 @@ def remove_repeats(docs: DataFrame, span: int = 100, id_column: str = "doc_id",
     empty table gives no rows; other columns of any name are not read.
     """
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)))
-    texts = docs.select(key.alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    named = docs.select(key.alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.struct(*(others or [F.lit(None).cast("int").alias("none")])).alias("others"))
+    texts = named.select("key", "text")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zip_(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], ["key", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zip_(t.encode()) for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], ["key", "packed", "others"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
@@ -376,12 +390,13 @@ def remove_repeats(docs: DataFrame, span: int = 100, id_column: str = "doc_id",
                     kept.append(text[at:start])
                     at = stop
                 kept = b"".join([*kept, text[at:]])
-                rows.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * keep_text
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
-
-    packed = texts.mapInArrow(squeeze, "key long, packed binary")
-    extra = ", kept binary" * keep_text
-    done = packed.join(spans(texts, packed, span), "key", "left").select("key", "packed", "found").mapInArrow(finish, f"key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
+                rows.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, whole_characters(text, gone) if keep_text else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary(), pa.string()] * keep_text
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), b.column(3)], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "kept_text"] * keep_text + ["others"])
+
+    kind = dict(named.dtypes)["others"]
+    packed = named.mapInArrow(squeeze, f"key long, packed binary, others {kind}")
+    extra = ", kept binary, kept_text string" * keep_text + f", others {kind}"
+    done = packed.join(spans(texts, packed.select("key", "packed"), span), "key", "left").select("key", "packed", "found", "others").mapInArrow(finish, f"key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
     back = F.when(F.col("key") != -(2**63), F.col("key")).cast(dict(docs.dtypes)[id_column])
-    return done.select(back.alias(id_column), *[c for c in done.columns if c != "key"])
+    return done.select(back.alias(id_column), *[c for c in done.columns if c not in ("key", "others")], *[F.col(f"others.{c}").alias(c) for c in others or []])
