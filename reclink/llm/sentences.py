@@ -31,7 +31,8 @@ def remove_repeats(docs: DataFrame, run: int = RUN, id_column: str = "doc_id", t
     places = F.when(F.size("s") >= run, F.sequence(F.lit(0), F.size("s") - run)).otherwise(F.array().cast("array<int>"))
     whole = lambda i: F.slice(F.col("s"), i + 1, run)
     hashed = F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(whole(i)).alias("h"), F.hash(whole(i)).alias("g")))
-    runs = cut.select("key", "s", hashed.alias("r")).select("key", F.explode("r").alias("r")).select("key", "r.at", "r.h", "r.g")
+    # An outer explode: for a plain one the optimiser adds a filter on the array's size, below, that would cut every text again for every run.
+    runs = cut.select("key", "s", hashed.alias("r")).select("key", F.explode_outer("r").alias("r")).select("key", "r.at", "r.h", "r.g").where("at IS NOT NULL")
     first = runs.groupBy("h", "g").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = runs.join(first.select("h", "g", "first"), ["h", "g"]).where(~F.struct("key", "at").eqNullSafe(F.col("first")))
     gone = again.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + run - 1)))).alias("gone"))
