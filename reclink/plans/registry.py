@@ -4,8 +4,345 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reclink.functions import constants as K
+from reclink.functions.strings import similarity
+from reclink.functions.text import bucket
+from reclink.operators import blocking, decide, enrich, features, model, pairs, translit
+from reclink.operators.normalize import normalize
+from reclink.plans import oracles as O
+from reclink.sources import records as R
 
 FLAGSHIP = "topk_blocking"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def view(spark: SparkSession, sf: str) -> DataFrame:
+    return R.record_view(spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet"))
+
+
+def norm(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize(view(spark, sf))
+
+
+def linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(records, features, statistics, weights)."""
+    recs = norm(spark, sf)
+    feats = features.features(recs)
+    stats = features.statistics(feats, recs)
+    return recs, feats, stats, features.weights(feats, stats)
+
+
+def kept(spark: SparkSession, sf: str) -> DataFrame:
+    return blocking.prune(blocking.context(blocking.topk(linked(spark, sf)[3])))
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept pairs with the blocking score as ``p`` and a hashed ``p1``, so that decision queries need no model."""
+    p1 = F.conv(F.substring(F.md5(F.concat("q_id", F.lit("|"), "s1_id")), 1, 8), 16, 10).cast("long") % 1000
+    return kept(spark, sf).select("q_id", "s1_id", F.round("bscore", 6).alias("p"), F.round(p1 / 1000.0, 3).alias("p1"))
+
+
+def truth(spark: SparkSession, sf: str) -> DataFrame:
+    """``s1_id, match_id``: records whose texts start alike, in one country."""
+    recs = view(spark, sf)
+    entity = recs.where("src = 1").groupBy("country", "ck").agg(F.min(F.col("entity_id").cast("long")).cast("string").alias("s1_id"))
+    return recs.where("src > 1").join(entity, ["country", "ck"]).select("s1_id", F.col("entity_id").alias("match_id"))
+
+
+def primary(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf).where("src = 1").select(F.col("entity_id").alias("s1_id"))
+
+
+def joined(c: str, by: str = " ") -> Column:
+    return F.array_join(c, by).alias(c)
+
+
+def r6(c: str) -> Column:
+    return F.round(c, 6).alias(c)
+
+
+@query(f"WITH {O.REC} SELECT * FROM rec")
+def rec_view(spark, sf):
+    return view(spark, sf)
+
+
+@query(f"WITH {O.NORM} SELECT entity_id, nm, array_to_string(nm_parts, '|') AS nm_parts, array_to_string(nm_tok, ' ') AS nm_tok, nm_core, nm_concat FROM norm")
+def normalize_names(spark, sf):
+    return norm(spark, sf).select("entity_id", "nm", joined("nm_parts", "|"), joined("nm_tok"), "nm_core", "nm_concat")
+
+
+@query(f"WITH {O.NORM} SELECT entity_id, ad, array_to_string(ad_comp, '|') AS ad_comp, array_to_string(ad_tok, ' ') AS ad_tok, array_to_string(ad_code, ' ') AS ad_code, ad_first_num FROM norm")
+def normalize_addresses(spark, sf):
+    return norm(spark, sf).select("entity_id", "ad", joined("ad_comp", "|"), joined("ad_tok"), joined("ad_code"), "ad_first_num")
+
+
+@query(f"WITH {O.FEATS} SELECT rec_id, ns, key FROM feats WHERE ns IN ('nw', 'ng', 'aw', 'an', 'ac')")
+def features_simple(spark, sf):
+    return features.features(norm(spark, sf)).where(F.col("ns").isin("nw", "ng", "aw", "an", "ac")).select("rec_id", "ns", "key")
+
+
+@query(f"WITH {O.FEATS} SELECT rec_id, ns, key FROM feats WHERE ns IN ('ap', 'np', 'xn', 'ab')")
+def features_compound(spark, sf):
+    return features.features(norm(spark, sf)).where(F.col("ns").isin("ap", "np", "xn", "ab")).select("rec_id", "ns", "key")
+
+
+@query(f"WITH {O.STATS} SELECT country, ns, key, df, cdf, round(idf, 6) AS idf, in_product FROM stats")
+def doc_freq_idf(spark, sf):
+    return linked(spark, sf)[2].select("country", "ns", "key", "df", "cdf", r6("idf"), "in_product")
+
+
+@query(f"WITH {O.WEIGHTED} SELECT rec_id, ns, count(*) AS n, round(sum(w * w), 6) AS norm FROM wt GROUP BY 1, 2")
+def weights_norm(spark, sf):
+    return linked(spark, sf)[3].groupBy("rec_id", "ns").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("norm"))
+
+
+@query(f"WITH {O.STATS} SELECT rec_id, ns, round(1 - count(df) / count(*), 6) AS unseen FROM feats LEFT JOIN stats USING (country, ns, key) GROUP BY 1, 2")
+def unseen_fraction(spark, sf):
+    _, feats, stats, _ = linked(spark, sf)
+    return features.unseen(feats, stats).select("rec_id", "ns", r6("unseen"))
+
+
+@query(f"WITH {O.TOP} SELECT q_id, s1_id, country, round(bscore, 6) AS bscore, brank FROM top")
+def topk_blocking(spark, sf):
+    return blocking.topk(linked(spark, sf)[3]).select("q_id", "s1_id", "country", r6("bscore"), "brank")
+
+
+@query(f"WITH {O.TOP} SELECT q_id, s1_id, brank, round(top1, 6) AS top1, round(top2, 6) AS top2, n_ret, round(gap_top1, 6) AS gap_top1, round(top_margin, 6) AS top_margin, round(ratio_top1, 6) AS ratio_top1 FROM kept")
+def prune_candidates(spark, sf):
+    return kept(spark, sf).select("q_id", "s1_id", "brank", r6("top1"), r6("top2"), "n_ret", r6("gap_top1"), r6("top_margin"), r6("ratio_top1"))
+
+
+@query(f"""WITH {O.TOP} SELECT q_id, s1_id, count(*) OVER v AS s1_nq, CAST(sum(CASE WHEN brank = 0 THEN 1 ELSE 0 END) OVER v AS BIGINT) AS s1_ntop1,
+  row_number() OVER (PARTITION BY s1_id ORDER BY bscore DESC, q_id) AS s1_rank, round(bscore - max(bscore) OVER v, 6) AS s1_gap FROM kept WINDOW v AS (PARTITION BY s1_id)""")
+def s1_context(spark, sf):
+    return blocking.s1_context(kept(spark, sf)).select("q_id", "s1_id", "s1_nq", "s1_ntop1", "s1_rank", r6("s1_gap"))
+
+
+@query(f"WITH {O.NORM} SELECT a.entity_id, count(b.entity_id) AS name_freq FROM norm a LEFT JOIN (SELECT * FROM norm WHERE src = 1) b ON a.country = b.country AND a.nm_core = b.nm_core GROUP BY 1")
+def name_freq(spark, sf):
+    return blocking.name_frequency(norm(spark, sf))
+
+
+@query(f"""WITH {O.TOP}, sz AS (SELECT rec_id, ns, count(*) AS nnz FROM wt GROUP BY 1, 2)
+SELECT k.q_id, k.s1_id, q.ns, round(sum(q.w * s.w), 6) AS cos, count(*) AS ovl, any_value(a.nnz) AS q_nnz, any_value(b.nnz) AS s_nnz, round(count(*) / (any_value(a.nnz) + any_value(b.nnz) - count(*)), 6) AS jac
+FROM kept k JOIN wt q ON k.q_id = q.rec_id JOIN wt s ON k.s1_id = s.rec_id AND q.ns = s.ns AND q.key = s.key JOIN sz a ON a.rec_id = k.q_id AND a.ns = q.ns JOIN sz b ON b.rec_id = k.s1_id AND b.ns = q.ns GROUP BY 1, 2, 3""")
+def pair_cosine(spark, sf):
+    weighted = linked(spark, sf)[3]
+    pruned = blocking.prune(blocking.context(blocking.topk(weighted)))
+    return pairs.cosine(pruned, weighted).select("q_id", "s1_id", "ns", r6("cos"), "ovl", "q_nnz", "s_nnz", r6("jac"))
+
+
+_LEGAL = lambda c: f"list_filter(string_split({c}, ' '), lambda x: list_contains({O.listed(K.LEGAL)}, x))"
+
+
+@query(f"""WITH {O.side('nm, nm_concat, nm_core, nm_tok, ad, ad_comp, ad_first_num')},
+z AS (SELECT *, q_ad_first_num AS a, s_ad_first_num AS b, {_LEGAL('q_nm')} AS lq, {_LEGAL('s_nm')} AS ls, q_ad_first_num IS NOT NULL AND s_ad_first_num IS NOT NULL AS ok FROM both_)
+SELECT q_id, s1_id, CAST(q_nm_concat = s_nm_concat AS INTEGER) AS nm_concat_eq, CASE WHEN ok THEN CAST(a = b AS INTEGER) END AS fnum_eq, CASE WHEN ok THEN CAST(levenshtein(a, b) AS INTEGER) END AS hn_lev,
+  CASE WHEN ok THEN round(abs(ln(1 + CAST(substr(a, 1, 9) AS DOUBLE)) - ln(1 + CAST(substr(b, 1, 9) AS DOUBLE))), 6) END AS hn_logdiff,
+  CASE WHEN ok THEN CAST(starts_with(a, b) OR starts_with(b, a) OR suffix(a, b) OR suffix(b, a) AS INTEGER) END AS hn_affix, CASE WHEN ok THEN CAST(abs(length(a) - length(b)) AS INTEGER) END AS hn_lendiff,
+  CAST(len(lq) > 0 AND len(ls) > 0 AS INTEGER) AS legal_both, CASE WHEN len(lq) > 0 AND len(ls) > 0 THEN CAST(list_has_any(lq, ls) AS INTEGER) END AS legal_same,
+  CAST(length(q_nm_core) AS INTEGER) AS q_nmlen, CAST(length(s_nm_core) AS INTEGER) AS s_nmlen, CAST(length(q_ad) AS INTEGER) AS q_adlen, CAST(length(s_ad) AS INTEGER) AS s_adlen,
+  CAST(len(q_ad_comp) AS INTEGER) AS q_ncomp, CAST(len(s_ad_comp) AS INTEGER) AS s_ncomp, CAST(len(q_nm_tok) AS INTEGER) AS q_nmtok, CAST(len(s_nm_tok) AS INTEGER) AS s_nmtok, 0 AS q_native FROM z""")
+def pair_native(spark, sf):
+    return pairs.native(scored(spark, sf), norm(spark, sf))
+
+
+@query(f"WITH {O.side('nm_concat')} SELECT q_id, s1_id, round(CASE WHEN q_nm_concat = s_nm_concat THEN 1.0 WHEN q_nm_concat = '' OR s_nm_concat = '' THEN 0.0 ELSE jaro_winkler_similarity(q_nm_concat, s_nm_concat) END, 4) AS jw FROM both_")
+def jaro_winkler(spark, sf):
+    both = pairs.sides(scored(spark, sf), norm(spark, sf), ["nm_concat"])
+    return both.select("q_id", "s1_id", F.round(similarity("jaro_winkler", F.col("q_nm_concat"), F.col("s_nm_concat")), 4).alias("jw"))
+
+
+@query()
+def string_similarity(spark, sf):
+    return pairs.names(scored(spark, sf), norm(spark, sf))
+
+
+VOCAB = f"""{O.PAIRS},
+sz AS (SELECT country, count(*) FILTER (src = 1) AS n1, count(*) FILTER (src > 1) AS nq FROM norm GROUP BY 1 HAVING n1 > 0 AND nq > 0),
+tk AS (SELECT country, t, count(*) FILTER (src = 1) AS df, count(*) FILTER (src > 1) AS nt FROM (SELECT country, src, unnest(nm_tok) AS t FROM norm) GROUP BY 1, 2),
+vocab AS (SELECT country, t, df, ln(((nt + 1) / nq) / ((df + 1) / n1)) AS lratio, sum(df) OVER (PARTITION BY country ORDER BY df RANGE UNBOUNDED PRECEDING) / sum(df) OVER (PARTITION BY country) AS dfpct FROM tk JOIN sz USING (country))"""
+
+
+@query(f"WITH {VOCAB} SELECT country, t, df, round(lratio, 6) AS lratio, round(dfpct, 6) AS dfpct FROM vocab")
+def token_stats(spark, sf):
+    return enrich.token_stats(norm(spark, sf)).select("country", "t", "df", r6("lratio"), r6("dfpct"))
+
+
+STRUCT = f"""{O.NORM},
+st AS (SELECT *, coalesce(ad_first_num, '') || '|' || array_to_string(ad_tok[1:2], ' ') AS a, nm_core || '|' || coalesce(ad_first_num, '') || '|' || coalesce(ad_tok[1], '') AS k, coalesce(nm_tok[1], '') AS w1 FROM norm),
+su AS (SELECT *, length(a) > 3 AS ok FROM st),
+sa AS (SELECT country, a, count(*) AS n FROM su WHERE ok AND src = 1 GROUP BY 1, 2), sw AS (SELECT country, a, w1, count(*) AS n_w1 FROM su WHERE ok AND src = 1 GROUP BY 1, 2, 3), qk AS (SELECT country, k, count(*) AS nk FROM su WHERE ok AND src > 1 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {STRUCT} SELECT entity_id AS q_id, CASE WHEN ok THEN coalesce(n, 0) END AS q_addr_s1n, CASE WHEN ok THEN nk - 1 END AS q_support FROM su LEFT JOIN sa USING (country, a) LEFT JOIN qk USING (country, k) WHERE src > 1")
+def structure_q(spark, sf):
+    return enrich.structure(norm(spark, sf))[0]
+
+
+@query(f"WITH {STRUCT} SELECT entity_id AS s1_id, CASE WHEN ok THEN n END AS s_addr_n, CASE WHEN ok THEN n_w1 END AS s_addr_w1_n, CASE WHEN ok THEN coalesce(nk, 0) END AS s_support FROM su LEFT JOIN sa USING (country, a) LEFT JOIN sw USING (country, a, w1) LEFT JOIN qk USING (country, k) WHERE src = 1")
+def structure_s(spark, sf):
+    return enrich.structure(norm(spark, sf))[1]
+
+
+@query()
+def diff_tokens(spark, sf):
+    recs = norm(spark, sf)
+    return enrich.unmatched_tokens(scored(spark, sf), recs, enrich.token_stats(recs))
+
+
+_DIFF = lambda a, b: f"list_sort(list_distinct(list_filter({a}, lambda x: NOT list_contains({b}, x))))"
+
+
+@query(f"""WITH {O.side('nm')}, z AS (SELECT *, {_LEGAL('q_nm')} AS lq, {_LEGAL('s_nm')} AS ls FROM both_), y AS (SELECT *, {_DIFF('lq', 'ls')} AS qo, {_DIFF('ls', 'lq')} AS so FROM z)
+SELECT q_id, s1_id, CAST(len(qo) AS INTEGER) AS legal_q_only_n, CAST(len(so) AS INTEGER) AS legal_s_only_n, CAST(len(lq) > 0 AND len(qo) = 0 AND len(so) = 0 AS INTEGER) AS legal_equal, array_to_string(qo, ' ') AS legal_q_only, array_to_string(so, ' ') AS legal_s_only FROM y""")
+def legal_diff(spark, sf):
+    return enrich.legal_difference(scored(spark, sf), norm(spark, sf))
+
+
+@query(f"""WITH {O.side('ad_code')}, x AS (SELECT q_id, s1_id, a, unnest(s_ad_code) AS b FROM (SELECT q_id, s1_id, s_ad_code, unnest(q_ad_code) AS a FROM both_)),
+y AS (SELECT *, levenshtein(a, b) AS lev FROM x),
+z AS (SELECT q_id, s1_id, min(lev) AS m, bool_or(lev > 0 AND (starts_with(a, b) OR starts_with(b, a) OR suffix(a, b) OR suffix(b, a))) AS f, bool_or(lev = 1 AND length(a) = length(b)) AS g FROM y GROUP BY 1, 2)
+SELECT q_id, s1_id, CAST(m AS INTEGER) AS code_minlev, CAST(f AS INTEGER) AS code_affix, CAST(g AS INTEGER) AS code_subst1 FROM both_ LEFT JOIN z USING (q_id, s1_id)""")
+def code_diff(spark, sf):
+    return enrich.code_difference(scored(spark, sf), norm(spark, sf))
+
+
+@query(f"""WITH {O.side('nm_tok, ad_first_num')}, d0 AS (SELECT q_id, s1_id, CAST(p1 >= 0.5 AS INTEGER) AS st, unnest(list_distinct(list_filter(q_nm_tok, lambda x: NOT list_contains(s_nm_tok, x)))) AS t FROM both_),
+d1 AS (SELECT *, count(*) OVER (PARTITION BY s1_id, t) AS n, sum(st) OVER (PARTITION BY s1_id, t) AS ns FROM d0),
+d2 AS (SELECT q_id, s1_id, count(*) AS nd, max(n - 1) AS sh, CAST(max(ns - st) AS BIGINT) AS ss FROM d1 GROUP BY 1, 2),
+m AS (SELECT q_id, s1_id, q_ad_first_num AS qn, coalesce(q_ad_first_num <> s_ad_first_num, false) AS x FROM both_),
+m2 AS (SELECT *, sum(CAST(x AS INTEGER)) OVER (PARTITION BY s1_id, qn) AS nn FROM m)
+SELECT q_id, s1_id, coalesce(nd, 0) AS cd_ndev, coalesce(sh, 0) AS cd_share, coalesce(ss, 0) AS cd_share_strong, CAST(x AS INTEGER) AS cd_num_diff, CAST(CASE WHEN x THEN nn - 1 ELSE 0 END AS BIGINT) AS cd_num_share FROM m2 LEFT JOIN d2 USING (q_id, s1_id)""")
+def collective(spark, sf):
+    return enrich.collective(scored(spark, sf), norm(spark, sf))
+
+
+@query(f"WITH {O.PAIRS} SELECT s1_id, q_id AS rid FROM best WHERE p >= 0.35")
+def assign_threshold(spark, sf):
+    return decide.assign(scored(spark, sf), 0.35)
+
+
+@query(f"WITH {O.PAIRS}, g AS (SELECT 0.05::DOUBLE AS floor, 0.3::DOUBLE AS lam), {O.EXPECTED} SELECT s1_id, rid FROM pred")
+def assign_expected_f(spark, sf):
+    return decide.assign_expected_f(decide.best(scored(spark, sf)), F.lit(0.3), F.lit(0.05))
+
+
+_T = ", ".join(f"({t}::DOUBLE)" for t in K.THRESHOLDS)
+_FL = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a in K.FLOORS for b in K.LAMBDAS)
+
+
+@query(f"WITH {O.PAIRS}, g(t) AS (VALUES {_T}), pred AS (SELECT t, s1_id, q_id AS rid FROM best, g WHERE p >= t), {O.metric('t')}")
+def tune_threshold(spark, sf):
+    return decide.tune_thresholds(scored(spark, sf), truth(spark, sf), primary(spark, sf))
+
+
+@query(f"WITH {O.PAIRS}, g(floor, lam) AS (VALUES {_FL}), {O.EXPECTED}, {O.metric('floor, lam')}")
+def tune_expected_f(spark, sf):
+    return decide.tune_expected_f(scored(spark, sf), truth(spark, sf), primary(spark, sf))
+
+
+@query(f"WITH {O.PAIRS}, g AS (SELECT 1 AS one), pred AS (SELECT 1 AS one, s1_id, q_id AS rid FROM best WHERE p >= 0.35), {O.metric('one').replace('SELECT one, round(avg(x)', 'SELECT round(avg(x)')}")
+def macro_f05(spark, sf):
+    pred = decide.assign(scored(spark, sf), 0.35)
+    return decide.macro_f(decide.f_parts(pred, truth(spark, sf), primary(spark, sf)))
+
+
+@query(f"""WITH {O.PAIRS}, c0 AS (SELECT q_id, s1_id, p1, row_number() OVER (PARTITION BY q_id ORDER BY p1 DESC, s1_id) AS qr, row_number() OVER (PARTITION BY s1_id ORDER BY p1 DESC, q_id) AS sr FROM pairs),
+c1 AS (SELECT *, max(p1) OVER q AS qm, sum(p1) OVER q AS qs, coalesce(max(CASE WHEN qr = 2 THEN p1 END) OVER q, 0) AS q2, sum(p1) OVER s AS ss, max(p1) OVER s AS sm, sum(CAST(p1 >= 0.5 AS INTEGER)) OVER s AS s50,
+  sum(CASE WHEN qr = 1 THEN p1 ELSE 0 END) OVER s AS bs, sum(CAST(qr = 1 AND p1 >= 0.5 AS INTEGER)) OVER s AS b50 FROM c0 WINDOW q AS (PARTITION BY q_id), s AS (PARTITION BY s1_id))
+SELECT q_id, s1_id, qr AS q_p1_rank, round(qm, 6) AS q_p1_max, round(qs, 6) AS q_p1_sum, round(q2, 6) AS q_p1_2nd, round(CASE WHEN qr = 1 THEN q2 ELSE qm END, 6) AS q_p1_other, round(p1 / greatest(qs, 1e-6), 6) AS q_p1_share,
+  round(p1 - CASE WHEN qr = 1 THEN q2 ELSE qm END, 6) AS q_p1_margin, round(ss, 6) AS s_p1_sum, round(sm, 6) AS s_p1_max, CAST(s50 AS BIGINT) AS s_p1_n50, sr AS s_p1_rank, round(ss - p1, 6) AS s_p1_others,
+  CAST(s50 - CAST(p1 >= 0.5 AS INTEGER) AS BIGINT) AS s_p1_n50_others, round(bs, 6) AS s_best_sum, CAST(b50 AS BIGINT) AS s_best_n50 FROM c1""")
+def competition(spark, sf):
+    out = decide.competition(scored(spark, sf))
+    whole = {c: F.col(c).cast("long") for c in ("q_p1_rank", "s_p1_rank", "s_p1_n50", "s_p1_n50_others", "s_best_n50")}
+    real = {c: F.round(c, 6) for c in ("q_p1_max", "q_p1_sum", "q_p1_2nd", "q_p1_other", "q_p1_share", "q_p1_margin", "s_p1_sum", "s_p1_max", "s_p1_others", "s_best_sum")}
+    return out.drop("p1").withColumns(whole | real)
+
+
+_GONE = "CAST('0x' || substr(md5('41:' || s1_id), 1, 8) AS BIGINT) % 1000 < 200"
+
+
+@query(f"""WITH {O.TOP}, v0 AS (SELECT q_id, s1_id, bscore, top1 AS o1, top2 AS o2, row_number() OVER (PARTITION BY q_id ORDER BY bscore DESC, s1_id) AS rk, max(bscore) OVER (PARTITION BY q_id) AS t1 FROM kept WHERE NOT ({_GONE})),
+v1 AS (SELECT *, max(CASE WHEN rk = 2 THEN bscore END) OVER (PARTITION BY q_id) AS t2x FROM v0), v2 AS (SELECT *, CASE WHEN t2x IS NOT NULL THEN t2x WHEN t1 = o1 THEN o2 ELSE least(t1, {K.KEEP_RATIO} * o1) END AS t2 FROM v1)
+SELECT q_id, s1_id, round(bscore, 6) AS bscore, CAST(rk - 1 AS INTEGER) AS brank, round(t1, 6) AS top1, round(t2, 6) AS top2, round(bscore - t1, 6) AS gap_top1, round(t1 - t2, 6) AS top_margin, round(bscore / t1, 6) AS ratio_top1 FROM v2""")
+def phantom_view(spark, sf):
+    out = decide.phantom_view(kept(spark, sf), bucket(41, F.col("s1_id"), 1000) < 200)
+    return out.select("q_id", "s1_id", r6("bscore"), "brank", *map(r6, ("top1", "top2", "gap_top1", "top_margin", "ratio_top1")))
+
+
+@query(f"WITH {O.PAIRS} SELECT s1_id AS source1_entity_id, coalesce(string_agg(rid, ',' ORDER BY rid), '') AS matched_entity_ids FROM s1 LEFT JOIN (SELECT DISTINCT s1_id, q_id AS rid FROM best WHERE p >= 0.35) USING (s1_id) GROUP BY 1")
+def id_lists(spark, sf):
+    return R.id_lists(primary(spark, sf), decide.assign(scored(spark, sf), 0.35))
+
+
+@query(f"WITH {O.PAIRS} SELECT s1_id, rid AS match_id FROM truth")
+def ground_truth_long(spark, sf):
+    wide = R.id_lists(primary(spark, sf), truth(spark, sf).withColumnRenamed("match_id", "rid"))
+    return R.truth_long(wide)
+
+
+@query(f"""WITH {O.PAIRS}, ev AS (SELECT s1_id FROM s1 WHERE CAST('0x' || substr(md5('11:' || s1_id), 1, 8) AS BIGINT) % 1000 < 50), touch AS (SELECT DISTINCT q_id FROM pairs JOIN ev USING (s1_id))
+SELECT q_id, s1_id, CAST(CASE WHEN q_id IN (SELECT q_id FROM touch) THEN 1 ELSE 0 END AS INTEGER) AS held, CAST(rid IS NOT NULL AS INTEGER) AS y FROM pairs LEFT JOIN (SELECT s1_id, rid, rid AS q_id FROM truth) USING (s1_id, q_id)""")
+def holdout_split(spark, sf):
+    p, ev = scored(spark, sf), primary(spark, sf).where(bucket(11, F.col("s1_id"), 1000) < 50)
+    touch = p.join(ev, "s1_id", "left_semi").select("q_id").distinct().withColumn("held", F.lit(1))
+    y = truth(spark, sf).select("s1_id", F.col("match_id").alias("q_id"), F.lit(1).alias("y"))
+    return p.join(touch, "q_id", "left").join(y, ["s1_id", "q_id"], "left").select("q_id", "s1_id", F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("y", F.lit(0)).alias("y"))
+
+
+@query(f"""WITH {O.PAIRS}, pred AS (SELECT s1_id, q_id AS rid FROM best WHERE p >= 0.35)
+SELECT 'fp' AS kind, s1_id, rid FROM pred ANTI JOIN truth USING (s1_id, rid) UNION ALL SELECT 'fn', s1_id, rid FROM truth ANTI JOIN pred USING (s1_id, rid)
+UNION ALL SELECT 'fn_blocking', s1_id, rid FROM (SELECT * FROM truth ANTI JOIN pred USING (s1_id, rid)) ANTI JOIN (SELECT s1_id, q_id AS rid FROM pairs) USING (s1_id, rid)""")
+def error_sets(spark, sf):
+    both, p = ["s1_id", "rid"], scored(spark, sf)
+    pred, real = decide.assign(p, 0.35), truth(spark, sf).withColumnRenamed("match_id", "rid")
+    fn = real.join(pred, both, "left_anti")
+    lost = fn.join(p.select("s1_id", F.col("q_id").alias("rid")), both, "left_anti")
+    return pred.join(real, both, "left_anti").select(F.lit("fp").alias("kind"), *both).unionByName(fn.select(F.lit("fn").alias("kind"), *both)).unionByName(lost.select(F.lit("fn_blocking").alias("kind"), *both))
+
+
+def labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """Kept pairs with list features, competition for primary records and the label ``y``."""
+    k = kept(spark, sf)
+    y = truth(spark, sf).select("s1_id", F.col("match_id").alias("q_id"), F.lit(1.0).alias("y"))
+    names = ["bscore", "brank", "top2", "n_ret", "top_margin", "ratio_top1", "s1_nq", "s1_rank", "s1_gap"]
+    return k.join(blocking.s1_context(k), ["q_id", "s1_id"]).join(y, ["q_id", "s1_id"], "left").na.fill(0.0, ["y"]).select("q_id", "s1_id", *names, "y"), names
+
+
+@query()
+def gbt_train_score(spark, sf):
+    data, names = labelled(spark, sf)
+    return model.out_of_fold(data, names, rounds=8, depth=4).select("q_id", "s1_id", F.round("p1", 6).alias("p1"), "y")
+
+
+@query()
+def self_training(spark, sf):
+    data, names = labelled(spark, sf)
+    first = model.out_of_fold(data, names, rounds=8, depth=4).withColumnRenamed("p1", "p")
+    return model.pseudo_labels(first, high=0.9, low=0.1)
+
+
+_TRANSLIT = [("हाईटेक लॉजिस्टिक्स", "Hitech Logistics"), ("हाईटेक सेवा", "Hitech Seva"), ("नया लॉजिस्टिक्स", "Naya Logistics")]
+
+
+@query()
+def translit_learn(spark, sf):
+    return translit.learn_names(spark.createDataFrame(_TRANSLIT, "q_name string, s_name string"))
