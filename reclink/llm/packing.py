@@ -31,7 +31,7 @@ from reclink.llm.common import materialize
 #: The byte-level pre-tokeniser's published pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks of text kept by a Python worker; the cache is emptied when it is full.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 #: Cells over which ranks are counted: bounds what the driver collects.
 CELLS = 16_384
 #: Patterns offered to the least-squares fit, and its steps.
