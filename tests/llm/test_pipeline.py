@@ -1,19 +1,110 @@
-"""The pipeline's stages, each judged on what it was given."""
+"""The pipeline against a brute-force version of all its stages, on a small corpus."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from reclink.llm import quality, suffixes
 
 SF = "/root/testdata/sf0.001"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def corpus():
+    r = random.Random(8)
+    stock = [w + v for w in ("thond", "erwh", "anor", "été", "inea", "ouble", "stre", "ung") for v in ("", "ing", "a", "o", "sh", "en", "ti", "el", "ou")]
+    text = lambda n: " ".join(r.choice(stock) + str(r.randint(0, 99)) * (r.random() < 0.3) for _ in range(n))
+    base = [text(r.randint(60, 200)) for _ in range(25)]
+    near = [b.replace(f" {b.split()[9]} ", " zzz ", 1) for b in base[:6]]
+    passage = text(40)
+    shared = [f"{text(60)} {passage} {text(60)}" for _ in range(4)]
+    private = [f"{text(70)} write to a.b@c-d.org or 10.1.2.3, +44 20 7946 0958 {text(10)}" for _ in range(3)]
+    junk = ["spam " * 90, "short", "", "$$ ## ** " * 40]
+    return base + near + base[:3] + shared + private + junk + [text(1500)]
+
+
+def brute(texts, labelled):
+    ratios = scores(texts, labelled)
+    kept = {k: t for k, t in enumerate(texts) if ratios[k] is not None and ratios[k] >= quality.THRESHOLD}
+    sets = {k: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in kept.items()}
+    root = {k: k for k in kept}
+    for a in kept:
+        for b in kept:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    kept = {k: t for k, t in kept.items() if root[k] == k}
+    seen, left = set(), {}
+    for k, t in kept.items():
+        b, gone = t.encode(), []
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone = [*gone[:-1], (gone[-1][0], i + 100)] if gone and gone[-1][1] >= i else [*gone, (i, i + 100)]
+            seen.add(b[i : i + 100])
+        left[k] = suffixes.whole_characters(b, gone)
+    patterns = (("<EMAIL>", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("<PHONE>", r"\+[0-9][\x20().0-9-]+[0-9]"), ("<IP>", r"[0-9]+(\.[0-9]+){3}"))
+    for tag, pattern in patterns:
+        left = {k: re.sub(pattern, tag, t) for k, t in left.items()}
+    return left
+
+
+def chain(words):
+    seed = 42
+    for w in words:
+        seed = xxhash.xxh64_intdigest(w.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def scores(texts, labelled):
+    raw, good, grams = collections.Counter(), collections.Counter(), {}
+    for k, t in enumerate(texts):
+        w = re.findall(WORD, t)
+        grams[k] = [chain([x]) % quality.BUCKETS for x in w] + [chain(w[i : i + 2]) % quality.BUCKETS for i in range(len(w) - 1)]
+        raw.update(grams[k])
+        good.update(grams[k] if k in labelled else [])
+    n, g = sum(raw.values()) + quality.BUCKETS, sum(good.values()) + quality.BUCKETS
+    out = {}
+    for k, t in enumerate(texts):
+        w = re.findall(WORD, t)
+        runs = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {j for i in range(len(w) - 2) if runs[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        bad = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        out[k] = None if bad else sum(np.log((good[b] + 1) / g) - np.log((raw[b] + 1) / n) for b in grams[k]) / len(grams[k])
+    return out
+
+
+def test_equals_brute_force(spark, tmp_path):
+    texts = corpus()
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    labelled = {k for k, t in enumerate(texts) if "spam" not in t and "$$" not in t}
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in labelled], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    expected = brute(texts, labelled)
+    assert 20 < len(expected) < len(texts) - 10
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    pieces = set()
+    for k, t in expected.items():
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        pieces |= {(k, n, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for n, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == pieces and len(got) == len(pieces)
 
 
-def test_stages(spark):
+def test_stages_keep_the_schema(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for name, stage in pipeline.STAGES:
-        out = stage(spark, docs, SF).cache()
-        ids = {r["doc_id"] for r in out.select("doc_id").collect()}
-        assert ids and ids <= set(kept), name
-        if name != "packing":
-            assert out.columns == pipeline.COLUMNS
-            docs, kept = out, {r["doc_id"]: r["text"] for r in out.collect()}
-        else:
-            assert ids == set(kept)
+    ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    for name, stage in pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == pipeline.COLUMNS, name
+        ids &= {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert len(ids) > 100
