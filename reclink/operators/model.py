@@ -37,7 +37,7 @@ def score(model: PipelineModel, pairs: DataFrame, features: list[str], name: str
 
 def out_of_fold(pairs: DataFrame, features: list[str], label: str = "y", seed: int = 17, **how) -> DataFrame:
     """``p1`` of every pair from the model that was fitted on the other half of the query records."""
-    folded = pairs.withColumn("_fold", bucket(seed, F.col("q_id"), 2))
+    folded = pairs.withColumn("_fold", bucket(seed, F.col("q_id"), 2)).persist()  # both fits read it several times
     parts = []
     for k in (0, 1):
         model = fit(folded.where(F.col("_fold") != k), features, label, **how)
