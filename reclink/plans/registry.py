@@ -43,9 +43,10 @@ def norm(spark: SparkSession, sf: str) -> DataFrame:
 def linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(records, features, statistics, weights)."""
     recs = norm(spark, sf)
-    feats = features.features(recs)
+    # Both are read several times in one plan (statistics, norms, both sides of the join); what does not fit in memory goes to disk.
+    feats = features.features(recs).persist()
     stats = features.statistics(feats, recs)
-    return recs, feats, stats, features.weights(feats, stats)
+    return recs, feats, stats, features.weights(feats, stats).persist()
 
 
 def kept(spark: SparkSession, sf: str) -> DataFrame:
