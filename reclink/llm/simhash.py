@@ -186,15 +186,13 @@ def near_copies(docs: DataFrame, width: int = 3, radius: int = 3, id_column: str
 BINS, BANDS, ROWS = 256, 14, 4
 #: Points of one band key that are compared in one task; more are dealt into blocks.
 BLOCK_POINTS = 3_000
+#: Points and shingle hashes of one group of candidates that are compared exactly in one block.
+EXACT_POINTS, EXACT_HASHES = 1_000, 2_000_000
 _SEEDS = np.random.default_rng(20_240_602).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def sketch(text: str, width: int) -> tuple[int, int, bytes, list[int]]:
-    """(hash of the set of ``width``-word shingles, SimHash of that set, byte sketch, band keys).
-
-    The sketch holds, for each bin of the shingle hashes, one byte of the least hash in it (0: none), so the share of equal bytes
-    among bins that either text fills estimates the sets' similarity. A band key joins ``ROWS`` minima under different hash functions.
-    """
+def shingles(text: str, width: int) -> np.ndarray:
+    """The set of ``width``-word shingles as sorted hashes; a text without words has the one hash zero."""
     words = text.encode().lower().split()
     n, k = len(words), min(width, len(words))
     joined = b" ".join(words)
@@ -203,7 +201,20 @@ def sketch(text: str, width: int) -> tuple[int, int, bytes, list[int]]:
         at += len(w) + 1
         stops.append(at)
     starts = [0, *(s + 1 for s in stops[: n - k])]
-    h = np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops[k - 1 :])] if n else [0], dtype="<u8"))
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops[k - 1 :])] if n else [0], dtype="<u8"))
+
+
+def set_hash(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), 7)
+
+
+def sketch(text: str, width: int) -> tuple[int, int, bytes, list[int], int]:
+    """(hash of the set of ``width``-word shingles, SimHash of that set, byte sketch, band keys, size of the set).
+
+    The sketch holds, for each bin of the shingle hashes, one byte of the least hash in it (0: none), so the share of equal bytes
+    among bins that either text fills estimates the sets' similarity. A band key joins ``ROWS`` minima under different hash functions.
+    """
+    h = shingles(text, width)
     ones = sum(np.unpackbits(h[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for lo in range(0, len(h), 65536))
     fp = int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
     bins = np.zeros(BINS, np.uint8)
@@ -216,7 +227,7 @@ def sketch(text: str, width: int) -> tuple[int, int, bytes, list[int]]:
         for lo in range(0, len(h), 4096):
             least = np.minimum(least, (((h[lo : lo + 4096, None] ^ _SEEDS[0]) * _SEEDS[1]) ^ (h[lo : lo + 4096, None] >> np.uint64(29))).min(axis=0))
     bands = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return xxhash.xxh64_intdigest(h.tobytes(), 7), fp, bins.tobytes(), bands
+    return set_hash(h), fp, bins.tobytes(), bands, len(h)
 
 
 def similarity(bins: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -243,13 +254,42 @@ def similar_forest(fps: np.ndarray, bins: np.ndarray, radius: int, least: float)
     return edges
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 22, margin: float = 0.015, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def exact_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges (indices) that span the links among sets of hashes: those whose similarity, counted in full, is ``least`` or more."""
+    sizes = np.array([len(h) for h in sets])
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    # For every hash, the sets that hold it.
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    stop = np.cumsum(np.bincount(ids, minlength=len(names)))
+    start = np.concatenate([[0], stop[:-1]])
+    edges, left = [], np.arange(len(sets))
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        queue = [root]
+        while queue and len(left):
+            at = queue.pop()
+            own = ids[ends[at] - sizes[at] : ends[at]]
+            n = stop[own] - start[own]
+            places = np.arange(n.sum()) + np.repeat(start[own] - (np.cumsum(n) - n), n)
+            common = np.bincount(holders[places], minlength=len(sets))[left]
+            near = common >= least * (sizes[at] + sizes[left] - common)
+            if near.any():
+                new = left[near].tolist()
+                edges += [(root, k) for k in new]
+                queue += new
+                left = left[~near]
+    return edges
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 22, margin: float = 0.15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column, component_id`` for rows with ids: groups of texts whose shingle sets have a similarity of ``least`` or more.
 
     At a similarity of 0.8 fingerprints differ in some ten bits (up to 20), and trees over 64 bits cannot part points within such a
-    radius. So fingerprints meet by band keys first (of pairs at 0.8 one in 1800 shares none), and are linked there if they
-    lie within ``radius`` and their sketches agree in ``least - margin`` of the bins. Equal shingle sets are one point. All links of a bucket count, in blocks
-    where it is large. Null texts have no shingles and are equal; rows with a null id are left out; repeated rows are one row; an empty table gives none.
+    radius. So fingerprints meet by band keys first (of pairs at 0.8 one in 1800 shares none), and are candidates if they
+    lie within ``radius`` and their sketches agree in ``least - margin`` of the bins. Sketches only find candidates: all points of a group that
+    candidates connect are then compared by their whole shingle sets, worked out again from the texts, in blocks where a group is large. Equal shingle sets
+    are one point. Null texts have no shingles and are equal; rows with a null id are left out; repeated rows are one row; an empty table gives none.
     """
     kind = dict(docs.dtypes)[id_column]
 
@@ -258,11 +298,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
             made = [sketch(t or "", width) for t in b.column(1).to_pylist()]
             signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(made) + 1, BANDS), pa.int32()), pa.array(signed([k for m in made for k in m[3]]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed([m[0] for m in made])), pa.array(signed([m[1] for m in made])), pa.array([m[2] for m in made], pa.binary()), bands], ["doc_id", "point", "fp", "bins", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed([m[0] for m in made])), pa.array(signed([m[1] for m in made])), pa.array([m[2] for m in made], pa.binary()), bands, pa.array([m[4] for m in made], pa.int64())], ["doc_id", "point", "fp", "bins", "bands", "n_shingles"])
 
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL")
-    found = materialize(named.mapInArrow(run, f"doc_id {kind}, point long, fp long, bins binary, bands array<long>"))
-    points = materialize(found.groupBy("point").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("bands").alias("bands")))
+    found = materialize(named.mapInArrow(run, f"doc_id {kind}, point long, fp long, bins binary, bands array<long>, n_shingles long"))
+    points = materialize(found.groupBy("point").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
     keys = points.select("point", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK_POINTS).cast("int")
@@ -283,7 +323,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
     edges = dealt.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(link, "a long, b long")
-    roots = components(edges).withColumnRenamed("node", "point")
+    groups = materialize(components(edges).withColumnRenamed("node", "point").join(points.select("point", "first", "n_shingles"), "point"))
+    blocks = F.greatest(F.ceil(F.count("*") / EXACT_POINTS), F.ceil(F.sum("n_shingles") / EXACT_HASHES)).cast("int")
+    wanted = groups.join(groups.groupBy("root").agg(blocks.alias("blocks")), "root").select(F.col("first").alias("doc_id"), "point", "root", "blocks")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingles(t or "", width) for t in b.column(0).to_pylist()]
+            # Rows of one id with different texts: only the text of this point counts.
+            own = pa.array([set_hash(h) == p & (2**64 - 1) for h, p in zip(made, b.column(1).to_pylist())], pa.bool_())
+            sets = pa.array([h.tobytes() for h in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], sets], ["point", "root", "blocks", "hashes"]).filter(own)
+
+    fetched = named.join(wanted, "doc_id").select("text", "point", "root", "blocks").mapInArrow(fetch, "point long, root long, blocks int, hashes binary")
+    fetched = fetched.withColumn("own", F.pmod(F.xxhash64("point"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    fetched = fetched.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "point", "hashes")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, point, hashes in runs(batches, 256):
+            shard, point = shard.to_numpy(), point.to_numpy()
+            sets = [np.frombuffer(h, "<u8") for h in hashes]
+            begin = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            edges: list[tuple[int, int]] = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)]):
+                edges += [(a + i, a + j) for i, j in exact_forest(sets[a:b], least)] if b - a > 1 else []
+            pairs = point[np.array(edges, dtype=np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+    decided = fetched.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(decide, "a long, b long")
+    roots = components(decided).withColumnRenamed("node", "point")
     rooted = points.select("point", "first").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
     least_id = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least_id, "root").select("point", "component_id")

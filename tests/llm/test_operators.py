@@ -351,6 +351,24 @@ def test_near_duplicates(spark, rows):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_at_the_border(spark):
+    """Pairs planted just above and just below a similarity of 0.8 are decided by their whole shingle sets."""
+    r = random.Random(12)
+    texts, similar = {}, {}
+    for pair in range(80):
+        words = [f"w{r.randint(0, 10**9)}" for _ in range(r.choice([150, 400, 1000, 3000]))]
+        changed, total = list(words), len(words) - 4
+        # Each changed word takes five shingles away and brings five new ones.
+        n = int(total * (1 - 0.8) / (5 * (1 + 0.8))) + pair % 2
+        for i in range(n):
+            changed[5 + i * 10] = f"new{r.randint(0, 10**9)}"
+        texts[2 * pair], texts[2 * pair + 1] = " ".join(words), " ".join(changed)
+        similar[pair] = (total - 5 * n) / (total + 5 * n)
+    assert {s >= 0.8 for s in similar.values()} == {True, False} and all(0.74 < s < 0.84 for s in similar.values())
+    got = by_id(simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {k: got[2 * k + 1]["component_id"] == 2 * k for k in similar} == {k: s >= 0.8 for k, s in similar.items()}
+
+
 def test_sharding(spark, docs, rows, awkward):
     got = sharding.shard_documents(docs).collect()
     sizes = collections.Counter(r["shard"] for r in got)
