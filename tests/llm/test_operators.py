@@ -93,6 +93,19 @@ def test_quality(spark, docs, rows):
     assert quality.quality(empty(spark), spark.createDataFrame([], LABELS)).count() == 0
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_quality_out_of_sample(spark, size):
+    """With half of the labels, clean documents of the other half stay; without labels the base rules alone decide."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{size}/{name}.parquet") for name in ("documents", "labels"))
+    seen = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(2)) == 0
+    got = by_id(quality.quality(docs, labels.where(seen)).select("doc_id", "base_failed", "kept"))
+    kept = lambda which: [got[r["doc_id"]]["kept"] for r in labels.where(which).collect() if not got[r["doc_id"]]["base_failed"]]
+    clean, bad = kept(~seen & F.expr("quality = 1 AND toxic = 0")), kept("quality = 0")
+    assert sum(clean) >= 0.95 * len(clean) and len(clean) > 25
+    assert sum(bad) <= 0.75 * len(bad)
+    assert all(r["kept"] == (not r["base_failed"]) for r in quality.quality(docs, labels.where("false")).select("base_failed", "kept").collect())
+
+
 def _chain(words):
     seed = 42
     for w in words:
