@@ -106,6 +106,19 @@ def test_quality_out_of_sample(spark, size):
     assert all(r["kept"] == (not r["base_failed"]) for r in quality.quality(docs, labels.where("false")).select("base_failed", "kept").collect())
 
 
+def test_quality_toxic(spark):
+    """Toxic documents in good prose go by a ratio of their own."""
+    r = random.Random(6)
+    prose = lambda: [f"word{r.randint(0, 300)}" for _ in range(120)]
+    texts = {k: " ".join(prose() + ([f"slur{r.randint(0, 20)}" for _ in range(30)] if k % 4 == 0 else [])) for k in range(240)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(120)], LABELS)
+    got = by_id(quality.quality(docs, labels, threshold=-1.0).select("doc_id", "kept"))
+    assert {k: got[k]["kept"] for k in texts} == {k: k % 4 != 0 for k in texts}
+    assert quality.cut_between([1.0, 2.0, 3.0], [0.0, 0.5]) == 0.75
+    assert quality.cut_between([1.0], []) == quality.cut_between([1.0], [2.0]) == -np.inf
+
+
 def _chain(words):
     seed = 42
     for w in words:
