@@ -1,7 +1,7 @@
 """Operator 6: personal data, with disguises undone and every span mapped back to the source characters.
 
 Four plain detectors run over the whole text. Where a text holds disguised characters (look-alike letters,
-other scripts' digits, invisible characters), spelled digits or at/dot words, transducers rewrite it to a plain text and
+other scripts' digits, styled or invisible characters), spelled digits or at/dot words, transducers rewrite it to a plain text and
 record which source characters each piece of output stands for; the detectors run again over that, and what they find
 is mapped back. A span found that way is added if it holds something rewritten and lies inside no plain span.
 Detectors take time in proportion to the text, whatever runs of characters it has.
@@ -117,6 +117,19 @@ _LABEL = r"[A-Za-z0-9-]+"
 _AT_CLUE = re.compile(rf"({_AT})|({_AT_WORD})|@", re.IGNORECASE)
 _HOST = re.compile(rf"{_LABEL}(?:(?:{_DOT}|{_DOT_WORD}|\.){_LABEL})+", re.IGNORECASE)
 _ANY_DOT = re.compile(rf"{_DOT}|{_DOT_WORD}", re.IGNORECASE)
+#: The end of a name whose dots are disguised, and how far back it is looked for.
+_NAME = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:(?:{_DOT}|{_DOT_WORD})[A-Za-z0-9._%+-]+)+\Z", re.IGNORECASE)
+_NAME_BRACKETS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9._%+-]+)+\Z", re.IGNORECASE)
+_NAME_CHARS = 160
+#: Groups of up to three digits, spelled or not, with dots or their stand-ins between; an address has four.
+_OCTET = rf"(?:[0-9]{{1,3}}|(?:{_NUMBER}|[0-9])(?:[ -]?(?:{_NUMBER}|[0-9])){{0,2}})"
+_IP_DOT = rf"(?:{_DOT}|{_DOT_WORD}|\.)"
+_DISGUISED_IP = re.compile(rf"(?<![\w.]){_OCTET}(?:{_IP_DOT}{_OCTET}){{3,}}(?!\w)", re.IGNORECASE)
+_IP_PART = re.compile(rf"({_IP_DOT})|{_OCTET}", re.IGNORECASE)
+_OCTET_DIGIT = re.compile(rf"({_NUMBER})|[0-9]", re.IGNORECASE)
+# Starts with the dot, so that the search is fast; the words around it are looked at only there.
+_TIGHT_DOT = re.compile(r"\.(?<=\w\.)(?=\w)")
+_SPELLED_END, _SPELLED_START = re.compile(rf"(?:{_NUMBER})\Z", re.IGNORECASE), re.compile(_NUMBER, re.IGNORECASE)
 _DOT_CLUE = re.compile(r"[(\[{<][ \t]*(?:at|arroba|@|dot|punkt|point|punto|\.)[ \t]*[)\]}>]|[ \t](?:dot|punkt|point|punto)[ \t]", re.IGNORECASE)
 
 
@@ -127,7 +140,15 @@ def _odd_digits() -> str:
 
 
 _WIDE = "".join(f"{chr(c + 0xFEE0)}" for c in range(0x21, 0x7F))
-_ODD = re.compile(f"[{''.join(map(re.escape, LOOKALIKES))}{INVISIBLE}{re.escape(_WIDE)}{_odd_digits()}]")
+#: Styled forms of single ASCII characters (mathematical, circled, small), by their compatibility form.
+_STYLED = {
+    c: plain for c in map(chr, range(0x80, 0x20000))
+    if unicodedata.decomposition(c).startswith(("<font>", "<circle>", "<small>", "<wide>")) and len(plain := unicodedata.normalize("NFKC", c)) == 1 and "!" <= plain <= "~" and c not in LOOKALIKES
+}
+_COMMON = f"{''.join(map(re.escape, LOOKALIKES))}{INVISIBLE}{re.escape(_WIDE)}{_odd_digits()}"
+_ODD, _ODD_OR_STYLED = re.compile(f"[{_COMMON}]"), re.compile(f"[{_COMMON}{re.escape(''.join(_STYLED))}]")
+# The long class is slow, so it is used only where a text has characters of the same blocks of 256.
+_STYLED_BLOCKS = re.compile(f"[{''.join(f'{chr(k << 8)}-{chr((k << 8) + 255)}' for k in sorted({ord(c) >> 8 for c in _STYLED}))}]")
 
 
 def _plain(c: str) -> str:
@@ -135,6 +156,8 @@ def _plain(c: str) -> str:
         return ""
     if c in LOOKALIKES:
         return LOOKALIKES[c]
+    if c in _STYLED:
+        return _STYLED[c]
     if (d := unicodedata.digit(c, None)) is not None:
         return str(d)
     return chr(ord(c) - 0xFEE0)
@@ -175,7 +198,7 @@ class Rewritten:
 
 
 def rewrite_characters(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(text)]
+    return [(m.start(), m.end(), _plain(m[0])) for m in (_ODD_OR_STYLED if _STYLED_BLOCKS.search(text) else _ODD).finditer(text)]
 
 
 def rewrite_digits(text: str) -> list[tuple[int, int, str]]:
@@ -192,6 +215,20 @@ def rewrite_digits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def rewrite_ips(text: str) -> list[tuple[int, int, str]]:
+    """Addresses of four numbers up to 255 whose dots are disguised or whose digits are spelled out."""
+    spelled = lambda at: _SPELLED_START.match(text, at + 1) or _SPELLED_END.search(text[max(0, at - 6) : at])
+    if not _DOT_CLUE.search(text) and not any(spelled(m.start()) for m in _TIGHT_DOT.finditer(text)):
+        return []
+    out = []
+    for m in _DISGUISED_IP.finditer(text):
+        parts = list(_IP_PART.finditer(text, m.start(), m.end()))
+        plain = ["." if p[1] else "".join(SPELLED[d[1].lower()] if d[1] else d[0] for d in _OCTET_DIGIT.finditer(p[0])) for p in parts]
+        if len(parts) == 7 and all(int(g) <= 255 for g in plain[::2]):
+            out += [(p.start(), p.end(), put) for p, put in zip(parts, plain) if p[0] != put]
+    return out
+
+
 def rewrite_signs(text: str) -> list[tuple[int, int, str]]:
     """At and dot disguises that stand between a name and a host name.
 
@@ -205,8 +242,12 @@ def rewrite_signs(text: str) -> list[tuple[int, int, str]]:
             continue
         if host := _HOST.match(text, m.end()):
             dots = [(d.start(), d.end(), ".") for d in _ANY_DOT.finditer(text, host.start(), host.end())]
-            if m[1] or dots:
-                out += [(m.start(), m.end(), "@")] * (m[0] != "@") + dots
+            # Bare dot words in the name count only beside another disguise.
+            low = max(out[-1][1] if out else 0, m.start() - _NAME_CHARS)
+            name = (_NAME if m[1] or dots else _NAME_BRACKETS).search(text[low : m.start()])
+            named = [(low + d.start(), low + d.end(), ".") for d in _ANY_DOT.finditer(text[low : m.start()], name.start())] if name else []
+            if m[1] or dots or named:
+                out += named + [(m.start(), m.end(), "@")] * (m[0] != "@") + dots
     return out
 
 
@@ -216,7 +257,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     added: list[Span] = []
     layers: list[Rewritten] = []
     plain = text
-    for rewrite in (rewrite_characters, rewrite_digits, rewrite_signs):
+    for rewrite in (rewrite_characters, rewrite_ips, rewrite_digits, rewrite_signs):
         if edits := rewrite(plain):
             layers.append(Rewritten.of(plain, edits))
             plain = layers[-1].text

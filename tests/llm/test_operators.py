@@ -261,6 +261,19 @@ def test_disguises(text, hidden):
     assert [text[s.start : s.end] for s in added] == ([hidden] if hidden else [])
 
 
+@pytest.mark.parametrize(("text", "kind", "hidden"), [
+    ("at 192[.]168[.]1[.]20 now", "ip", "192[.]168[.]1[.]20"), ("10 (dot) 1 (dot) 2 (dot) 3", "ip", "10 (dot) 1 (dot) 2 (dot) 3"), ("on 192 dot 168 dot 1 dot 20.", "ip", "192 dot 168 dot 1 dot 20"),
+    ("is one two seven dot zero dot zero dot one ok", "ip", "one two seven dot zero dot zero dot one"), ("one.two.three.four", "ip", "one.two.three.four"),
+    ("to john [dot] doe [at] ex [dot] com!", "email", "john [dot] doe [at] ex [dot] com"), ("to john dot doe at ex dot com", "email", "john dot doe at ex dot com"), ("john [dot] doe@ex.com", "email", "john [dot] doe@ex.com"),
+    ("𝐣𝐨𝐡𝐧@𝐞𝐱.𝐜𝐨𝐦", "email", "𝐣𝐨𝐡𝐧@𝐞𝐱.𝐜𝐨𝐦"), ("ⓙⓞⓔ@ex.com", "email", "ⓙⓞⓔ@ex.com"), ("at 300[.]1[.]1[.]1", "", ""), ("1[.]2[.]3", "", ""), ("1 dot 2 dot 3 dot 4 dot 5", "", ""),
+])
+def test_disguised_addresses(text, kind, hidden):
+    spans, added = pii.find(text)
+    assert [(s.kind, text[s.start : s.end]) for s in added] == ([(kind, hidden)] if hidden else [])
+    left = pii.redact(text, spans + added)
+    assert not hidden or left == text.replace(hidden, f"<{kind.upper()}>")
+
+
 def test_suffixes(spark, docs, rows, awkward):
     first, got = set(), by_id(suffixes.remove_repeats(docs, span=100))
     for k, t, *_ in rows:
