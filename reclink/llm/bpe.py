@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -77,18 +78,29 @@ class WordBpe:
         self.exact_words = 0
 
     def exact(self, symbols: list[str]) -> list[str]:
-        """The merge loop: join the leftmost pair of lowest rank until none is left."""
-        none, get = len(self.rank), self.rank.get
-        ranks = [get(p, none) for p in zip(symbols, symbols[1:])]
-        while ranks and (least := min(ranks)) < none:
-            i = ranks.index(least)
-            symbols[i] += symbols.pop(i + 1)
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((symbols[i], symbols[i + 1]), none)
-            if i:
-                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
-        return symbols
+        """The merge loop: join the leftmost pair of lowest rank until none is left.
+
+        Pairs wait in a heap by rank and place, and symbols are linked to their neighbours, so a word of n symbols takes n log n steps.
+        """
+        get, n = self.rank.get, len(symbols)
+        queue = [(r, i, i + 1) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := get(p)) is not None]
+        heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        while queue:
+            rank, i, j = heapq.heappop(queue)
+            # Stale unless both still begin where they did and make the pair of this rank.
+            if after[i] != j or j >= n or not symbols[i] or not symbols[j] or get((symbols[i], symbols[j])) != rank:
+                continue
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get((symbols[i], symbols[k]))) is not None:
+                    heapq.heappush(queue, (r, i, k))
+            if (k := before[i]) >= 0 and (r := get((symbols[k], symbols[i]))) is not None:
+                heapq.heappush(queue, (r, k, i))
+        return [s for s in symbols if s]
 
     def symbols(self, unit: str) -> list[str]:
         """The base symbols of ``unit``, a string over the byte alphabet."""

@@ -61,48 +61,70 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape_role(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """``tree_id, leaf_id, node_id, depth``: every root-to-leaf path of a table ``tree_id, node_id, parent_id``; the root has depth 0.
+def _trees(nodes: DataFrame, *others: str) -> DataFrame:
+    """``tree, node, parent`` and ``others``: keys that equal themselves where ids are null, and one row a node.
 
-    A node whose parent is null or not there is a root. Node ids must be unique in a tree. A leaf whose
-    ancestors form a circle has no path; if there is one, this raises ValueError.
+    Repeated rows are one node. Different rows of one node id are different nodes, of which replies go to the first, by all their columns.
     """
-    links = nodes.select("tree_id", "node_id", "parent_id")
-    there = links.select("tree_id", F.col("node_id").alias("parent_id"))
-    jumps = materialize(links.join(there, ["tree_id", "parent_id"], "left_semi").select("tree_id", "node_id", F.col("parent_id").alias("up")))
-    parents = jumps.select("tree_id", F.col("up").alias("node_id"))
-    leaves = links.join(parents, ["tree_id", "node_id"], "left_anti")
-    found = materialize(leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).alias("height")))
-    largest = links.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    rows = nodes.select("tree_id", "node_id", "parent_id", *others).distinct()
+    nth = F.row_number().over(Window.partitionBy("tree_id", "node_id").orderBy("parent_id", *others))
+    key = lambda node, n: F.struct(F.col(node).alias("id"), n.alias("nth"))
+    return rows.select(F.struct("tree_id").alias("tree"), key("node_id", nth).alias("node"), F.when(F.col("parent_id").isNotNull(), key("parent_id", F.lit(1))).alias("parent"), *others)
+
+
+def _paths(links: DataFrame) -> DataFrame:
+    """``tree, leaf, node, depth`` of a stored table ``tree, node, parent``."""
+    there = links.select("tree", F.col("node").alias("parent"))
+    jumps = materialize(links.join(there, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up")))
+    parents = jumps.select("tree", F.col("up").alias("node"))
+    # Each round is stored by itself, so a path's nodes are written once, however many rounds follow.
+    found = materialize(links.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("height")))
+    largest = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     step = 1
     while step < largest:
-        far = found.join(jumps, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up").alias("node_id"), (F.col("height") + step).alias("height"))
-        found = materialize(found.unionByName(far))
+        far = found.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + step).alias("height"))
+        found = found.unionByName(materialize(far))
         step *= 2
         if step < largest:
-            next_up = jumps.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("further"))
-            jumps = materialize(jumps.join(next_up, ["tree_id", "up"]).select("tree_id", "node_id", F.col("further").alias("up")))
-    if largest and not found.where(F.col("height") >= largest).isEmpty():
+            next_up = jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("further"))
+            jumps = materialize(jumps.join(next_up, ["tree", "up"]).select("tree", "node", F.col("further").alias("up")))
+            if jumps.isEmpty():
+                break
+    # Paths into a circle grow past the largest tree; a circle that no leaf leads to is on no path.
+    if largest and not (found.where(F.col("height") >= largest).isEmpty() and links.join(found.select("tree", "node"), ["tree", "node"], "left_anti").isEmpty()):
         raise ValueError("a node is its own ancestor")
-    top = Window.partitionBy("tree_id", "leaf_id")
-    return found.select("tree_id", "leaf_id", "node_id", (F.max("height").over(top) - F.col("height")).alias("depth"))
+    top = Window.partitionBy("tree", "leaf")
+    return found.select("tree", "leaf", "node", (F.max("height").over(top) - F.col("height")).alias("depth"))
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """``tree_id, leaf_id, node_id, depth``: every root-to-leaf path of a table ``tree_id, node_id, parent_id``; the root has depth 0.
+
+    A node whose parent is null or not there is a root. Null tree ids are one tree, null node ids are leaves. Repeated rows are one
+    node; rows that share a node id but not the parent are different nodes, and replies go to the one of the smallest parent. Circles raise
+    ValueError, whether a leaf leads into them or not. An empty table gives no rows; other columns of any name are not read.
+    """
+    found = _paths(materialize(_trees(nodes)))
+    return found.select("tree.tree_id", F.col("leaf.id").alias("leaf_id"), F.col("node.id").alias("node_id"), "depth")
 
 
 def conversations(nodes: DataFrame, per_tree: int | None = None) -> DataFrame:
     """``tree_id, leaf_id, branch, score, formatted, loss_spans`` for the ``per_tree`` best branches of each tree (all of them if None).
 
     ``nodes`` has ``tree_id, node_id, parent_id, role, text, score``. A branch scores the sum over its nodes (null: 0); equal
-    scores rank by leaf id. Null roles and texts are empty. An empty table gives no rows; other columns are not read.
+    scores rank by leaf id. Null roles and texts are empty. Null and repeated ids, repeated rows and circles are as in ``paths``: rows of
+    one node id that differ in any of these columns are all kept. An empty table gives no rows; other columns are not read.
     """
     nodes = nodes.select("tree_id", "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0)).cast("double").alias("score"))
-    found = paths(nodes.select("tree_id", "node_id", "parent_id"))
+    trees = materialize(_trees(nodes, "role", "text", "score"))
+    found = _paths(trees.select("tree", "node", "parent"))
     if per_tree is not None:
-        scored = found.join(nodes.select("tree_id", "node_id", "score"), ["tree_id", "node_id"]).groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("score"))
-        best = scored.withColumn("branch", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id"))).where(F.col("branch") <= per_tree)
-        found = found.join(best.select("tree_id", "leaf_id"), ["tree_id", "leaf_id"], "left_semi")
-    turns = found.join(nodes, ["tree_id", "node_id"])
-    whole = turns.groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
-    whole = whole.withColumn("branch", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id")))
+        scored = found.join(trees.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
+        best = scored.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).where(F.col("branch") <= per_tree)
+        found = found.join(best.select("tree", "leaf"), ["tree", "leaf"], "left_semi")
+    turns = found.join(trees.select("tree", "node", "role", "text", "score"), ["tree", "node"])
+    whole = turns.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+    whole = whole.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,7 +133,7 @@ def conversations(nodes: DataFrame, per_tree: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["tree_id", "leaf_id", "branch", "score", "formatted", "loss_spans"])
 
     kinds = dict(nodes.dtypes)
-    return whole.select("tree_id", "leaf_id", "branch", "score", "turns").mapInArrow(
+    return whole.select("tree.tree_id", F.col("leaf.id").alias("leaf_id"), "branch", "score", "turns").mapInArrow(
         run, f"tree_id {kinds['tree_id']}, leaf_id {kinds['node_id']}, branch int, score double, formatted string, loss_spans array<struct<start: long, stop: long>>"
     )
 
@@ -138,7 +160,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 def chain(rows: DataFrame) -> DataFrame:
     """Plain conversations ``conv_id, turn, role, text`` as trees of one branch: every row replies to the one before it.
 
-    Rows of one turn (repeated or null) follow each other by role and text.
+    Rows of one turn (repeated or null) follow each other by role and text, nulls first. Rows without a ``conv_id`` are one conversation.
     """
     ranked = rows.withColumn("node_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
     return ranked.select(F.col("conv_id").alias("tree_id"), "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), "role", "text", F.lit(0).alias("score"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,41 +9,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reclink.sources.stages import materialize, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, by any path that Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: what ``spark.checkpoint.dir`` names, or one of our own where that is unset."""
-    context = spark.sparkContext
-    found = context._jsc.sc().getCheckpointDir()
-    if found.isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="reclink-checkpoint-")
-        context.setCheckpointDir(named)
-        found = context._jsc.sc().getCheckpointDir()
-    return found.get()
+#: Keys that a join settles without a shuffle, at most: bounds what is broadcast.
+HOT_KEYS = 1_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], value: str, count: str, hot: int = HOT_KEYS) -> DataFrame:
+    """``left`` with the column ``value`` of ``right``, and without ``keys``; rows without a partner are left out.
 
-    Cuts the lineage: what follows survives the loss of any executor without computing this again.
+    ``right`` is a stored table with one row a key; its column ``count`` says how many rows of ``left`` have that key. The ``hot`` most frequent
+    keys meet their rows by a broadcast, so no task gets more than one ``hot``-th of all rows for one key; the rest are shuffled. Settled
+    rows travel under keys of their own, which spread them over all tasks.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reclink-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def whole_text(column: str = "text") -> Column:
-    """The text, null as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+    top = right.orderBy(F.desc(count), *keys).limit(hot).select(*keys, F.col(value).alias("_hot"))
+    others = [c for c in left.columns if c not in keys]
+    tagged = left.join(F.broadcast(top), keys, "left")
+    own = F.when(F.col("_hot").isNotNull(), F.xxhash64(F.lit("settled"), *keys, *others)).otherwise(F.col(keys[0])).alias(keys[0])
+    tagged = tagged.select(own, *keys[1:], *others, "_hot")
+    met = tagged.join(right.select(*keys, value), keys, "left")
+    return met.select(*others, F.coalesce("_hot", value).alias(value)).where(F.col(value).isNotNull())
 
 
 def runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray | list]]:

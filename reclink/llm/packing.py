@@ -3,7 +3,7 @@
 1. Each worker tokenises its rows and cuts them into pieces; only small piece rows leave it.
 2. The histogram of piece lengths (at most ``capacity`` rows, whatever the input) goes to the driver.
 3. There, patterns of two to four lengths that fill a sequence are enumerated, their repeat counts fitted to
-   the histogram by non-negative least squares and rounded down to what is there; what remains is placed by
+   the histogram by non-negative least squares and rounded, never above what is there; what remains is placed by
    best fit, decreasing, on counts of equal lengths and equal gaps, so the work does not grow with the input.
 4. Each length's pieces get ranks (counts by cell, then row numbers inside small cells), and a rank says which
    repeat of which pattern a piece goes to. No piece ever goes to the driver.
@@ -76,13 +76,15 @@ def byte_bpe(path: str) -> ByteBpe:
 
 
 def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_column: str = "doc_id", text_column: str = "text", block: int = 256) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``: each text's ids and ``end_id``, in pieces of at most ``capacity``.
+    """``doc_id, piece, start, length, ids_crc32, nth``: each text's ids and ``end_id``, in pieces of at most ``capacity``.
 
-    Longer documents are cut into full pieces, the first one taking what is over.
+    Longer documents are cut into full pieces, the first one taking what is over. ``nth`` numbers the rows of a task, so that rows
+    that share an id and a text can be dealt apart; it is of use only once the table is stored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = byte_bpe(vocabulary), np.array([end_id], "<u4").tobytes()
+        done = 0
         for whole in batches:
             for at in range(0, whole.num_rows, block):
                 batch = whole.slice(at, block)
@@ -94,11 +96,13 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_column:
                     for piece, (start, stop) in enumerate(zip([0, *stops], stops)):
                         rows.append((doc, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
                 kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] + [pa.array(np.arange(done, done + len(rows)))]
+                done += len(rows)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
     kind = dict(docs.dtypes)[id_column]
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return plain.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return plain.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, nth long")
 
 
 def patterns(hist: np.ndarray, limit: int = MAX_PATTERNS) -> list[tuple[int, ...]]:
@@ -186,7 +190,10 @@ def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 
 def pack(pieces: DataFrame, capacity: int, cells: int = CELLS) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to stored ``pieces`` (they are read three times; see ``materialize``)."""
+    """Add ``sequence_id`` and ``offset`` to stored ``pieces`` (they are read three times; see ``materialize``).
+
+    What is broadcast has at most one row a cell and a pattern's length: ``cells + capacity`` and four for each used pattern or class of gaps.
+    """
     spark = pieces.sparkSession
     full, short = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     hist = np.zeros(capacity + 1, dtype=np.int64)
@@ -195,7 +202,7 @@ def pack(pieces: DataFrame, capacity: int, cells: int = CELLS) -> DataFrame:
     n = int(hist.sum())
     share = np.maximum(1, np.ceil(hist * (cells / max(n, 1)))).astype(np.int64)  # cells of each length
     widths = spark.createDataFrame(pd.DataFrame({"length": np.arange(1, capacity), "width": share[1:capacity]}), "length long, width long")
-    in_cells = short.join(F.broadcast(widths), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), "width")).drop("width")
+    in_cells = short.join(F.broadcast(widths), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "nth"), "width")).drop("width")
     counts = in_cells.groupBy("length", "cell").count().collect()  # at most cells + capacity rows
     counts.sort(key=lambda r: (r["length"], r["cell"]))
 
@@ -221,7 +228,7 @@ def pack(pieces: DataFrame, capacity: int, cells: int = CELLS) -> DataFrame:
             at += take
     names = ["length", "cell", "lo", "hi", "first", "offset"]
     places = spark.createDataFrame(pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, 6), columns=names), ", ".join(f"{c} long" for c in names))
-    rank = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32", "nth")) - 1
     placed = in_cells.withColumn("rank", rank.cast("long")).join(F.broadcast(places), ["length", "cell"]).where("rank >= lo AND rank < hi")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     alone = full.select(*names, (F.lit(sequences) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

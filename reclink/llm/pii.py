@@ -109,9 +109,11 @@ _NUMBER = "|".join(sorted({*SPELLED}, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PLUS)})[ -]+)?(?:(?:{_NUMBER}|[0-9]+)(?:, |[ .-])){{5,}}(?:{_NUMBER}|[0-9]+)(?!\w)", re.IGNORECASE)
 _SPELLED_TOKEN = re.compile(rf"({'|'.join(PLUS)})[ -]+|({_NUMBER})(?:(?:, |[ .-])(?=\w))?|([0-9]+)(?:, |[ .-])(?={_NUMBER})", re.IGNORECASE)
 # Words and signs for the at sign and the dot.
-_AT = r"[ \t]*[(\[{<][ \t]*(?:at|arroba|@)[ \t]*[)\]}>][ \t]*"
-_DOT = r"[ \t]*[(\[{<][ \t]*(?:dot|punkt|point|punto|\.)[ \t]*[)\]}>][ \t]*"
-_AT_WORD, _DOT_WORD = r"[ \t]+(?:at|arroba)[ \t]+", r"[ \t]+(?:dot|punkt|point|punto)[ \t]+"
+# A run of blanks is entered at its first one only, so it is read once, however long it is.
+_BLANKS = r"(?<![ \t])[ \t]"
+_AT = rf"{_BLANKS}*+[(\[{{<][ \t]*+(?:at|arroba|@)[ \t]*+[)\]}}>][ \t]*+"
+_DOT = rf"{_BLANKS}*+[(\[{{<][ \t]*+(?:dot|punkt|point|punto|\.)[ \t]*+[)\]}}>][ \t]*+"
+_AT_WORD, _DOT_WORD = rf"{_BLANKS}++(?:at|arroba)[ \t]++", rf"{_BLANKS}++(?:dot|punkt|point|punto)[ \t]++"
 _LABEL = r"[A-Za-z0-9-]+"
 #: An address in disguise: an at sign or its stand-in, and dots or theirs, with a disguise in at least one place.
 _AT_CLUE = re.compile(rf"({_AT})|({_AT_WORD})|@", re.IGNORECASE)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclink.llm.common import materialize, runs
+from reclink.llm.common import join_hot, materialize, runs
 from reclink.llm.components import components
 
 #: Most points in the driver's sample, points to aim at in a shard, and shards to aim at on small tables.
@@ -174,12 +174,14 @@ def near_copies(docs: DataFrame, width: int = 3, radius: int = 3, id_column: str
     counts for no smallest id; repeated rows give repeated rows; other columns of any name are not read.
     """
     found = materialize(fingerprints(docs, width, id_column, text_column))
-    points = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    points = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(points, radius)).withColumnRenamed("node", "fp")
-    rooted = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select(F.col("doc_id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = materialize(points.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    # In a struct, as the smallest id of rows without ids is null.
+    least = materialize(rooted.groupBy("root").agg(F.struct(F.min("first").alias("id")).alias("component"), F.count("*").alias("size")))
+    classes = materialize(join_hot(rooted, least, ["root"], "component", "size"))
+    known = join_hot(found.withColumn("bits", F.col("fp")), classes, ["fp"], "component", "n")
+    return known.select(F.col("doc_id").alias(id_column), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("component.id").alias("component_id"))
 
 
 #: Sketch of the wider search: bins of one byte, and bands of ``ROWS`` minima each.
@@ -282,33 +284,29 @@ def exact_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 22, margin: float = 0.15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column, component_id`` for rows with ids: groups of texts whose shingle sets have a similarity of ``least`` or more.
-
-    At a similarity of 0.8 fingerprints differ in some ten bits (up to 20), and trees over 64 bits cannot part points within such a
-    radius. So fingerprints meet by band keys first (of pairs at 0.8 one in 1800 shares none), and are candidates if they
-    lie within ``radius`` and their sketches agree in ``least - margin`` of the bins. Sketches only find candidates: all points of a group that
-    candidates connect are then compared by their whole shingle sets, worked out again from the texts, in blocks where a group is large. Equal shingle sets
-    are one point. Null texts have no shingles and are equal; rows with a null id are left out; repeated rows are one row; an empty table gives none.
-    """
+def _members(docs: DataFrame, width: int, least: float, radius: int, margin: float, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows ``doc_id, mark, point``, stored; points ``point, first, n, root``, stored): ``mark`` is a digest of the text, ``first`` the smallest row of a point."""
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [sketch(t or "", width) for t in b.column(1).to_pylist()]
+            made = [sketch(t, width) for t in b.column(2).to_pylist()]
             signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(made) + 1, BANDS), pa.int32()), pa.array(signed([k for m in made for k in m[3]]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed([m[0] for m in made])), pa.array(signed([m[1] for m in made])), pa.array([m[2] for m in made], pa.binary()), bands, pa.array([m[4] for m in made], pa.int64())], ["doc_id", "point", "fp", "bins", "bands", "n_shingles"])
-
-    named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL")
-    found = materialize(named.mapInArrow(run, f"doc_id {kind}, point long, fp long, bins binary, bands array<long>, n_shingles long"))
-    points = materialize(found.groupBy("point").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(signed([m[0] for m in made])), pa.array(signed([m[1] for m in made])), pa.array([m[2] for m in made], pa.binary()), bands, pa.array([m[4] for m in made], pa.int64())], ["doc_id", "mark", "point", "fp", "bins", "bands", "n_shingles"])
+
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    named = docs.select(F.col(id_column).alias("doc_id"), F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
+    found = materialize(named.mapInArrow(run, f"doc_id {kind}, mark binary, point long, fp long, bins binary, bands array<long>, n_shingles long"))
+    # Rows without an id come last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first")
+    points = materialize(found.groupBy("point").agg(first, F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
     keys = points.select("point", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK_POINTS).cast("int")
-    met = keys.join(shared, "band").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("point"), "blocks").cast("int"))
+    blocks = F.ceil(F.count("*") / BLOCK_POINTS).cast("int")
+    shared = materialize(keys.groupBy("band").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1"))
+    met = join_hot(keys.withColumn("key", F.col("band")), shared, ["band"], "blocks", "n").withColumn("own", F.pmod(F.xxhash64("point"), "blocks").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "point")
+    met = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "point")
     dealt = met.join(points.select("point", "fp", "bins"), "point").select("shard", "point", "fp", "bins")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,24 +323,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     edges = dealt.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(link, "a long, b long")
     groups = materialize(components(edges).withColumnRenamed("node", "point").join(points.select("point", "first", "n_shingles"), "point"))
     blocks = F.greatest(F.ceil(F.count("*") / EXACT_POINTS), F.ceil(F.sum("n_shingles") / EXACT_HASHES)).cast("int")
-    wanted = groups.join(groups.groupBy("root").agg(blocks.alias("blocks")), "root").select(F.col("first").alias("doc_id"), "point", "root", "blocks")
+    sizes = materialize(groups.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("size")))
+    wanted = join_hot(groups.select("root", F.col("root").alias("group"), "point", "first.*"), sizes, ["root"], "blocks", "size")
+    wanted = wanted.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), "point", "group", "blocks")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            made = [shingles(t or "", width) for t in b.column(0).to_pylist()]
-            # Rows of one id with different texts: only the text of this point counts.
-            own = pa.array([set_hash(h) == p & (2**64 - 1) for h, p in zip(made, b.column(1).to_pylist())], pa.bool_())
-            sets = pa.array([h.tobytes() for h in made], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], sets], ["point", "root", "blocks", "hashes"]).filter(own)
-
-    fetched = named.join(wanted, "doc_id").select("text", "point", "root", "blocks").mapInArrow(fetch, "point long, root long, blocks int, hashes binary")
+            # Repeated rows of one text meet here; one is enough.
+            new = [p not in seen and not seen.add(p) for p in b.column(1).to_pylist()]
+            b = b.filter(pa.array(new, pa.bool_()))
+            sets = pa.array([shingles(t, width).tobytes() for t in b.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], sets], ["point", "group", "blocks", "hashes"])
+
+    own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))
+    fetched = named.join(wanted, own).select("text", "point", "group", "blocks").mapInArrow(fetch, "point long, group long, blocks int, hashes binary")
     fetched = fetched.withColumn("own", F.pmod(F.xxhash64("point"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    fetched = fetched.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "point", "hashes")
+    fetched = fetched.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "point", "hashes")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, point, hashes in runs(batches, 256):
             shard, point = shard.to_numpy(), point.to_numpy()
-            sets = [np.frombuffer(h, "<u8") for h in hashes]
+            new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (point[1:] != point[:-1])])
+            shard, point, sets = shard[new], point[new], [np.frombuffer(h, "<u8") for h, n in zip(hashes, new) if n]
             begin = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
             edges: list[tuple[int, int]] = []
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)]):
@@ -352,7 +355,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
 
     decided = fetched.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(decide, "a long, b long")
     roots = components(decided).withColumnRenamed("node", "point")
-    rooted = points.select("point", "first").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
-    least_id = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least_id, "root").select("point", "component_id")
-    return found.select("doc_id", "point").distinct().join(classes, "point").select(F.col("doc_id").alias(id_column), "component_id")
+    return found.select("doc_id", "mark", "point"), materialize(points.select("point", "first", "n").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 22, margin: float = 0.15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``id_column, component_id`` for every row: groups of texts whose shingle sets have a similarity of ``least`` or more.
+
+    At a similarity of 0.8 fingerprints differ in some ten bits (up to 20), and trees over 64 bits cannot part points within such a
+    radius. So fingerprints meet by band keys first (of pairs at 0.8 one in 1800 shares none), and are candidates if they
+    lie within ``radius`` and their sketches agree in ``least - margin`` of the bins. Sketches only find candidates: all points of a group that
+    candidates connect are then compared by their whole shingle sets, worked out again from the texts, in blocks where a group is large. Equal shingle sets
+    are one point, of which the most frequent meet their rows by a broadcast of bounded size.
+
+    ``component_id`` is the smallest id of a group; a group of rows without ids keeps a null one. Null texts have no shingles and are equal to empty ones. Rows that
+    share an id but not the text are different documents; repeated rows are returned as often as they occur; an empty table gives no rows; other
+    columns of any name are not read.
+    """
+    found, points = _members(docs, width, least, radius, margin, id_column, text_column)
+    firsts = materialize(points.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size")))
+    classes = materialize(join_hot(points, firsts, ["root"], "component", "size"))
+    return join_hot(found, classes, ["point"], "component", "n").select(F.col("doc_id").alias(id_column), F.col("component.doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 22, margin: float = 0.15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group that ``near_duplicates`` finds, the one row of the smallest id.
+
+    Rows without an id come after those with one, rows of one id go by a digest of the text. Of repeated rows (same id and text) one stays, with the
+    smallest of its other columns. All columns of ``docs`` come along, whatever their names; an empty table gives no rows.
+    """
+    _, points = _members(docs, width, least, radius, margin, id_column, text_column)
+    firsts = points.groupBy("root").agg(F.min("first").alias("component")).select("component.doc_id", "component.mark")
+    # Under keys of its own, so that no other column can clash; the keys are never null, so equal rows meet the join where they were merged.
+    kind = dict(docs.dtypes)[id_column]
+    key = lambda doc, mark: [F.coalesce(doc.cast("string"), F.lit("")).alias("_key"), doc.isNull().alias("_unnamed"), mark.alias("_mark")]
+    own = key(F.col(id_column), F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")))))
+    names = [c for c in docs.columns if c not in (id_column, text_column)]
+    rest = F.min(F.struct(*[F.col(c) for c in names])) if names else F.first(F.lit(None).cast("int"))
+    one = docs.select(*own, *docs.columns).groupBy("_key", "_unnamed", "_mark").agg(F.first(text_column).alias("_text"), rest.alias("_rest"))
+    kept = one.join(firsts.select(*key(F.col("doc_id"), F.col("mark"))), ["_key", "_unnamed", "_mark"], "left_semi")
+    put = {id_column: F.when(~F.col("_unnamed"), F.col("_key")).cast(kind), text_column: F.col("_text")} | {c: F.col(f"_rest.`{c}`") for c in names}
+    return kept.select(*[put[c].alias(c) for c in docs.columns])
