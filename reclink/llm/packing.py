@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reclink.llm.bpe import byte_alphabet
-from reclink.llm.common import materialize
+from reclink.llm.common import materialize, tidied
 
 #: The byte-level pre-tokeniser's published pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,7 +102,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_column:
 
     kind = dict(docs.dtypes)[id_column]
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return plain.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, nth long")
+    return plain.mapInArrow(tidied(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, nth long")
 
 
 def patterns(hist: np.ndarray, limit: int = MAX_PATTERNS) -> list[tuple[int, ...]]:

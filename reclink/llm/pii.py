@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reclink.llm.common import tidied
+
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -311,4 +313,4 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     kinds = dict(docs.dtypes)
     extra = ", redacted string" * keep_text + "".join(f", `{c}` {kinds[c]}" for c in others or [])
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), *(others or []))
-    return plain.mapInArrow(run, f"doc_id {kinds[id_column]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long{extra}").withColumnRenamed("doc_id", id_column)
+    return plain.mapInArrow(tidied(run), f"doc_id {kinds[id_column]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long{extra}").withColumnRenamed("doc_id", id_column)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclink.llm.common import join_hot, materialize, runs
+from reclink.llm.common import join_hot, materialize, runs, tidied
 from reclink.llm.components import components
 
 #: Most points in the driver's sample, points to aim at in a shard, and shards to aim at on small tables.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_column: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
     kind = dict(docs.dtypes)[id_column]
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, fp long")
 
 
 def distance(points: np.ndarray, vantage) -> np.ndarray:
@@ -162,7 +162,7 @@ def links(points: DataFrame, radius: int = 3, sample: int = SAMPLE) -> DataFrame
     def join(_: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(forest(group["fp"].to_numpy().view(np.uint64), radius).view(np.int64), columns=["a", "b"])
 
-    dealt = points.select("fp").mapInArrow(spread, "shard long, fp long")
+    dealt = points.select("fp").mapInArrow(tidied(spread), "shard long, fp long")
     return dealt.groupBy("shard").applyInPandas(join, "a long, b long")
 
 
@@ -297,7 +297,7 @@ def _members(docs: DataFrame, width: int, least: float, radius: int, margin: flo
 
     text = F.coalesce(F.col(text_column), F.lit(""))
     named = docs.select(F.col(id_column).alias("doc_id"), F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
-    found = materialize(named.mapInArrow(run, f"doc_id {kind}, mark binary, point long, fp long, bins binary, bands array<long>, n_shingles long"))
+    found = materialize(named.mapInArrow(tidied(run), f"doc_id {kind}, mark binary, point long, fp long, bins binary, bands array<long>, n_shingles long"))
     # Rows without an id come last.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first")
     points = materialize(found.groupBy("point").agg(first, F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
@@ -320,7 +320,7 @@ def _members(docs: DataFrame, width: int, least: float, radius: int, margin: flo
             pairs = point[np.array(edges, dtype=np.int64).reshape(-1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
-    edges = dealt.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(link, "a long, b long")
+    edges = dealt.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(tidied(link), "a long, b long")
     groups = materialize(components(edges).withColumnRenamed("node", "point").join(points.select("point", "first", "n_shingles"), "point"))
     blocks = F.greatest(F.ceil(F.count("*") / EXACT_POINTS), F.ceil(F.sum("n_shingles") / EXACT_HASHES)).cast("int")
     sizes = materialize(groups.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("size")))
@@ -337,7 +337,7 @@ def _members(docs: DataFrame, width: int, least: float, radius: int, margin: flo
             yield pa.RecordBatch.from_arrays([*b.columns[1:], sets], ["point", "group", "blocks", "hashes"])
 
     own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))
-    fetched = named.join(wanted, own).select("text", "point", "group", "blocks").mapInArrow(fetch, "point long, group long, blocks int, hashes binary")
+    fetched = named.join(wanted, own).select("text", "point", "group", "blocks").mapInArrow(tidied(fetch), "point long, group long, blocks int, hashes binary")
     fetched = fetched.withColumn("own", F.pmod(F.xxhash64("point"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     fetched = fetched.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "point", "hashes")
 
@@ -353,7 +353,7 @@ def _members(docs: DataFrame, width: int, least: float, radius: int, margin: flo
             pairs = point[np.array(edges, dtype=np.int64).reshape(-1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
-    decided = fetched.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(decide, "a long, b long")
+    decided = fetched.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(tidied(decide), "a long, b long")
     roots = components(decided).withColumnRenamed("node", "point")
     return found.select("doc_id", "mark", "point"), materialize(points.select("point", "first", "n").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point")))
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclink.llm.common import materialize, runs
+from reclink.llm.common import materialize, runs, tidied
 
 #: Bytes of an anchor substring; strings of ``span`` bytes hold ``span - GRAM + 1`` of them.
 GRAM = 32
@@ -236,7 +236,7 @@ def deal(texts: DataFrame, span: int, attempt: int = 0) -> DataFrame:
                 new, found, same = new | again, tuple(x[:0] for x in found), same[:0]
             yield from _rows(_settled(chunk.key[found[0]], chunk.mark[found[0]], found[1], found[2]), [c[new] for c in columns])
 
-    return texts.mapInArrow(run, DEALT)
+    return texts.mapInArrow(tidied(run), DEALT)
 
 
 FOUND = "key long, mark long, place long, anchor long, open boolean, lead_key long, lead_mark long, lead_place long"
@@ -290,7 +290,7 @@ def settle(dealt: DataFrame, piece: int = 1 << 16) -> DataFrame:
                     leads = [pa.nulls(len(a), pa.int64())] * 3 if lead is None else [_long(c) for c in lead[2:]]
                     yield pa.RecordBatch.from_arrays([*map(_long, (key, mark, place, a)), pa.array(np.full(len(a), is_open)), *leads], ["key", "mark", "place", "anchor", "open", "lead_key", "lead_mark", "lead_place"])
 
-    return dealt.repartition("anchor").sortWithinPartitions("anchor", "region", "key", "mark", "place").mapInArrow(run, FOUND)
+    return dealt.repartition("anchor").sortWithinPartitions("anchor", "region", "key", "mark", "place").mapInArrow(tidied(run), FOUND)
 
 
 def whole_spans(found: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def whole_spans(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, *map(_long, (start, n, leads[0][number], leads[1][number], lead_start))], ["key", "mark", "start", "n", "lead_key", "lead_mark", "lead_start"])
 
     lists = found.where("lead_key IS NOT NULL").groupBy("key", "mark").agg(F.collect_list(F.struct("place", "lead_key", "lead_mark", "lead_place")).alias("those"))
-    return lists.mapInArrow(run, "key long, mark long, start long, n long, lead_key long, lead_mark long, lead_start long")
+    return lists.mapInArrow(tidied(run), "key long, mark long, start long, n long, lead_key long, lead_mark long, lead_start long")
 
 
 class SuffixOrder:
@@ -467,7 +467,7 @@ def cut_out(packed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 
     lists = wanted.groupBy("key", "mark").agg(F.collect_set(F.struct("kind", "anchor", "place", "n")).alias("those"))
     joined = packed.select("key", "mark", "packed").join(lists, ["key", "mark"]).select("key", "mark", "packed", "those")
-    return joined.mapInArrow(run, "kind int, anchor long, region long, key long, mark long, place long, n long, part binary")
+    return joined.mapInArrow(tidied(run), "kind int, anchor long, region long, key long, mark long, place long, n long, part binary")
 
 
 def spans(texts: DataFrame, packed: DataFrame, span: int, wide: int = WIDE, attempt: int = 0) -> DataFrame:
@@ -495,7 +495,7 @@ def spans(texts: DataFrame, packed: DataFrame, span: int, wide: int = WIDE, atte
             yield pa.RecordBatch.from_arrays([*map(_long, made)], ["key", "mark", "start", "stop"])
 
     own = parts.where(F.col("kind") == OPEN).select("anchor", "key", "mark", "place", "part")
-    ends = own.repartition("anchor").sortWithinPartitions("anchor", "key", "mark", "place").mapInArrow(sort, "key long, mark long, start long, stop long")
+    ends = own.repartition("anchor").sortWithinPartitions("anchor", "key", "mark", "place").mapInArrow(tidied(sort), "key long, mark long, start long, stop long")
     start = F.shiftright("place", COUNT_BITS + 1)
     count = F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
     placed = lambda df: df.select("key", "mark", start.alias("start"), (start + count + (span - 1)).alias("stop"))
@@ -564,9 +564,9 @@ def remove_repeats(docs: DataFrame, span: int = 100, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), b.column(3)], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "kept_text"] * keep_text + ["others"])
 
     kind = dict(named.dtypes)["others"]
-    packed = named.mapInArrow(squeeze, f"key long, mark long, packed binary, others {kind}")
+    packed = named.mapInArrow(tidied(squeeze), f"key long, mark long, packed binary, others {kind}")
     extra = ", kept binary, kept_text string" * keep_text + f", others {kind}"
     found = spans(named.select("key", "text"), packed, span, wide)
-    done = packed.join(found, ["key", "mark"], "left").select("key", "packed", "found", "others").mapInArrow(finish, f"key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
+    done = packed.join(found, ["key", "mark"], "left").select("key", "packed", "found", "others").mapInArrow(tidied(finish), f"key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
     back = F.when(F.col("key") != -(2**63), F.col("key")).cast(dict(docs.dtypes)[id_column])
     return done.select(back.alias(id_column), *[c for c in done.columns if c not in ("key", "others")], *[F.col(f"others.{c}").alias(c) for c in others or []])
