@@ -39,7 +39,7 @@ from reclink.llm.common import materialize, runs, tidied
 #: Bytes of an anchor substring; strings of ``span`` bytes hold ``span - GRAM + 1`` of them.
 GRAM = 32
 #: Bytes of text that a task handles together, and strings that are sorted together.
-CHUNK_BYTES, SORT_STRINGS = 32 << 20, 400_000
+CHUNK_BYTES, SORT_STRINGS = 16 << 20, 400_000
 #: Open regions of one anchor that are sorted together, at most, and strings that a task deals together.
 WIDE, DEAL_STRINGS = 2_000, 500_000
 
