@@ -5,6 +5,13 @@ ALIAS_MARKERS = r"\b(?:d\s*/\s*b\s*/\s*a|dba|doing business as|trading as|t\s*/\
 PHONE = r"\b\+?\d[\d\s\-]{6,}\d\b"
 TOP_LEVEL_DOMAIN = r"\.(?:com|net|org|co\.in|in|fr|biz|info|co|us|io)\b"
 CODE = r"[a-z0-9]+(?:[\-/.][a-z0-9]+)*"
+# Cleaning steps of names, and patterns of address tokens.
+NAME_STEPS = ((PHONE, " "), (r"\bwww\.", " "), (TOP_LEVEL_DOMAIN, " "), ("&", " and "), ("['`’]", ""), (r"\.", ""), (ALIAS_MARKERS, " | "), (r"[^a-z0-9|]+", " "), (r"\s+", " "))
+ORDINAL, LEET = r"^\d+(?:st|nd|rd|th)$", ("013457", "oleast")
+NULL_WORD, CODE_MARKS, LEADING_ZEROS, WHOLE_NUMBER = r"\bnull\b", r"[\-/.]", r"^0+", r"^\d+$"
+SEAMS = (r"(\d)([a-z])", r"([a-z])(\d)")
+# Indic scripts.
+NATIVE = "[\u0900-\u0dff]"
 
 # Canonical name tokens.
 NAME_CANON = {
@@ -54,5 +61,15 @@ TYPO, NOISE_LOG_RATIO, VOCABULARY_DF = 0.8, 1.0986122886681098, 20
 THRESHOLDS = tuple(round(0.20 + 0.025 * k, 3) for k in range(31))
 FLOORS, LAMBDAS = (0.05, 0.4, 0.5, 0.6, 0.65, 0.7), (0.0, 0.2, 0.5, 1.0)
 
+# Forms with a flag of their own, hash seeds of the samples, and their sizes per mille.
+LEGAL_FLAGS = ("public", "pvt", "ltd", "llc", "inc", "corp", "co", "pc")
+HELD, FITTED, FOLD, EARLY, TARGET, NEGATIVE, GONE = 11, 13, 17, 23, 29, 31, 41
+HELD_SHARE, TARGET_SHARE, NEGATIVE_SHARE, GONE_SHARE, TRANSFER_SHARE = 50, 200, 300, 180, 300
+# Pseudo labels, and gates of the choice among variants.
+SURE, HOPELESS = 0.97, 0.03
+BAR, BAR_TOLERANCE, LEAST_GAIN, MOST_LOSS, SECOND_GAIN, SECOND_LOSS = 0.98859, 0.0003, 0.0005, 0.0005, 0.0003, 0.0002
+# An older model of six namespaces.
+OLD_WEIGHTS, OLD_MAX_DF = {"nw": 0.25, "ng": 0.20, "aw": 0.30, "an": 0.0, "ac": 0.10, "ap": 0.15}, 3000
+
 # Legal forms that are compared between two names.
 LEGAL = ("pvt", "ltd", "llc", "llp", "inc", "corp", "co", "pc", "lp", "plc", "pllc", "public", "sarl", "sas", "sa", "eurl", "sci", "snc")

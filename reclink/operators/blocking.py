@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from reclink.functions import constants as K
 
 
-def topk(weighted: DataFrame, k: int = K.TOP_K) -> DataFrame:
+def topk(weighted: DataFrame, k: int = K.TOP_K, weights: dict[str, float] = K.WEIGHTS) -> DataFrame:
     """``q_id, s1_id, country, bscore, brank``. An inverted-index join on (country, namespace, key); frequent keys left the product before it.
 
     Adaptive execution splits keys that are hot all the same; ranks above ``k`` are cut before the window's shuffle.
     """
-    ns_weight = F.create_map(*[x for ns, w in K.WEIGHTS.items() for x in (F.lit(ns), F.lit(w))])
-    used = weighted.where("in_product")
-    q = used.where("src > 1").select(F.col("rec_id").alias("q_id"), "country", "ns", "key", (ns_weight[F.col("ns")] * F.col("w")).alias("qw"))
-    s = used.where("src = 1").select(F.col("rec_id").alias("s1_id"), "country", "ns", "key", F.col("w").alias("sw"))
-    scored = q.join(s, ["country", "ns", "key"]).groupBy("q_id", "s1_id", "country").agg(F.round(F.sum(F.col("qw") * F.col("sw")), 9).alias("bscore"))
+    ns_weight = F.create_map(*[x for ns, w in weights.items() for x in (F.lit(ns), F.lit(w))])
+    # Keys go by their hash: the join and its shuffle then move longs instead of strings.
+    used = weighted.where(F.col("in_product") & F.col("ns").isin(*[ns for ns, w in weights.items() if w > 0])).withColumn("id", F.xxhash64("ns", "key"))
+    q = used.where("src > 1").select(F.col("rec_id").alias("q_id"), "country", "id", (ns_weight[F.col("ns")] * F.col("w")).alias("qw"))
+    s = used.where("src = 1").select(F.col("rec_id").alias("s1_id"), "country", "id", F.col("w").alias("sw"))
+    scored = q.join(s, ["country", "id"]).groupBy("q_id", "s1_id", "country").agg(F.round(F.sum(F.col("qw") * F.col("sw")), 9).alias("bscore"))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("bscore"), "s1_id"))
     return scored.withColumn("brank", (rank - 1).cast("int")).where(F.col("brank") < k)
 
@@ -44,6 +45,22 @@ def s1_context(kept: DataFrame) -> DataFrame:
 
 
 def name_frequency(records: DataFrame) -> DataFrame:
-    """``entity_id, name_freq``: primary records of the country with the same core name."""
-    counts = records.where("src = 1").groupBy("country", "nm_core").agg(F.count("*").alias("name_freq"))
-    return records.select("entity_id", "country", "nm_core").join(counts, ["country", "nm_core"], "left").select("entity_id", F.coalesce("name_freq", F.lit(0)).cast("long").alias("name_freq"))
+    """``entity_id, name_freq``: primary records of the country with the same core name.
+
+    Empty names, which may be many, meet a table of one row a country instead of the join.
+    """
+    named = records.select("entity_id", "src", "country", "nm_core")
+    counts = named.where("src = 1").groupBy("country", "nm_core").agg(F.count("*").alias("name_freq"))
+    some = named.where("nm_core <> ''").join(counts, ["country", "nm_core"], "left")
+    none = named.where("nm_core = ''").join(F.broadcast(counts.where("nm_core = ''").drop("nm_core")), "country", "left")
+    pick = ["entity_id", F.coalesce("name_freq", F.lit(0)).cast("long").alias("name_freq")]
+    return some.select(*pick).unionByName(none.select(*pick))
+
+
+def union_topk(weighted: DataFrame, lists: list[tuple[dict[str, float], int]]) -> DataFrame:
+    """``q_id, s1_id, country`` in any of several lists, each by its own namespace weights and length."""
+    found = [topk(weighted, k, weights).select("q_id", "s1_id", "country") for weights, k in lists]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()

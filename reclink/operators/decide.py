@@ -53,49 +53,97 @@ def macro_f(parts: DataFrame, by: tuple[str, ...] = (), beta: float = 0.5) -> Da
     )
 
 
-def tune_thresholds(pairs: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
-    """``t`` and the metric at each threshold of the grid, in one pass: a record counts for every threshold that its best pair reaches."""
+def tune_thresholds(leading: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
+    """``t`` and the metric of best pairs at each threshold of the grid, in one pass: a record counts for every threshold that its pair reaches."""
     grid = F.array(*[F.lit(t) for t in K.THRESHOLDS])
-    pred = best(pairs).withColumn("t", F.explode(F.filter(grid, lambda t: t <= F.col("p")))).select("t", "s1_id", F.col("q_id").alias("rid"))
+    pred = leading.withColumn("t", F.explode(F.filter(grid, lambda t: t <= F.col("p")))).select("t", "s1_id", F.col("q_id").alias("rid"))
     every = s1.select("s1_id", F.explode(grid).alias("t"))
     return macro_f(f_parts(pred, truth, every, ("t",)), ("t",))
 
 
-def tune_expected_f(pairs: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
-    """``floor, lam`` and the metric for each pair of the grid."""
+def tune_expected_f(leading: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
+    """``floor, lam`` and the metric of best pairs for each pair of the grid."""
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("floor"), F.lit(b).alias("lam")) for a in K.FLOORS for b in K.LAMBDAS]))
-    spread = best(pairs).withColumn("g", grid).select("q_id", "s1_id", "p", "g.floor", "g.lam")
+    spread = leading.withColumn("g", grid).select("q_id", "s1_id", "p", "g.floor", "g.lam")
     pred = assign_expected_f(spread, F.col("lam"), F.col("floor"), ("floor", "lam"))
     every = s1.select("s1_id", grid.alias("g")).select("s1_id", "g.floor", "g.lam")
     return macro_f(f_parts(pred, truth, every, ("floor", "lam")), ("floor", "lam"))
 
 
 def choose(by_threshold: DataFrame, by_expected_f: DataFrame) -> dict:
-    """The better rule; expected F only if strictly better. Both tables are grids of fixed size."""
+    """The better rule with its metric; expected F only if strictly better. Both tables are grids of fixed size, equal values go to the first of the grid."""
     t = by_threshold.orderBy(F.desc("f"), "t").first()
     e = by_expected_f.orderBy(F.desc("f"), "floor", "lam").first()
-    return {"rule": "expected_f", "floor": e["floor"], "lam": e["lam"], "f": e["f"]} if e["f"] > t["f"] else {"rule": "threshold", "t": t["t"], "f": t["f"]}
+    better = e["f"] > t["f"]
+    metrics = {c: (e if better else t)[c] for c in ("f", "f_single", "f_matched", "precision", "recall", "n")}
+    return {"rule": "expected_f" if better else "threshold", "t": t["t"], "floor": e["floor"], "lam": e["lam"], "f_threshold": t["f"], "f_expected_f": e["f"], "metrics": metrics}
+
+
+def tune(pairs: DataFrame, truth: DataFrame, s1: DataFrame) -> dict:
+    """Both rules tuned on the primary records ``s1``, and the better one chosen. ``pairs`` should be stored."""
+    leading = best(pairs)
+    own = truth.join(s1.select("s1_id").distinct(), "s1_id", "left_semi")
+    return choose(tune_thresholds(leading, own, s1), tune_expected_f(leading, own, s1))
+
+
+def decide(pairs: DataFrame, rule: dict) -> DataFrame:
+    """``s1_id, rid`` by a rule that ``choose`` gave."""
+    if rule["rule"] == "expected_f":
+        return assign_expected_f(best(pairs), F.lit(rule["lam"]), F.lit(rule["floor"]))
+    return assign(pairs, rule["t"])
+
+
+COMPETITION = (
+    "q_p1_rank", "q_p1_max", "q_p1_sum", "q_p1_2nd", "s_p1_sum", "s_p1_max", "s_p1_n50", "s_p1_rank", "q_p1_other", "q_p1_share", "s_p1_others", "s_p1_n50_others", "q_p1_margin", "s_best_sum", "s_best_n50",
+)
 
 
 def competition(pairs: DataFrame) -> DataFrame:
-    """Second-stage columns from a first-stage score ``p1``: how the pair stands among those of its query and of its primary record."""
+    """Second-stage columns from a first-stage score ``p1``: how the pair stands among those of its query and of its primary record.
+
+    Sums are of scores in billionths, so they do not depend on the order of rows.
+    """
     q, s = Window.partitionBy("q_id"), Window.partitionBy("s1_id")
+    exact = F.col("p1").cast("decimal(18,9)")
+    total = lambda c, w: F.sum(c).over(w).cast("double")
+    likely = (F.col("p1") > 0.5).cast("int")
     out = pairs.select("q_id", "s1_id", "p1").withColumns({
-        "q_p1_rank": F.row_number().over(q.orderBy(F.desc("p1"), "s1_id")), "q_p1_max": F.max("p1").over(q), "q_p1_sum": F.sum("p1").over(q),
-        "s_p1_sum": F.sum("p1").over(s), "s_p1_max": F.max("p1").over(s), "s_p1_n50": F.sum(F.when(F.col("p1") >= 0.5, 1).otherwise(0)).over(s), "s_p1_rank": F.row_number().over(s.orderBy(F.desc("p1"), "q_id")),
+        "q_p1_rank": F.row_number().over(q.orderBy(F.desc("p1"), "s1_id")), "q_p1_max": F.max("p1").over(q), "q_p1_sum": total(exact, q),
+        "q_p1_2nd": F.coalesce(F.nth_value("p1", 2).over(q.orderBy(F.desc("p1"), "s1_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0)),
     })
-    out = out.withColumn("q_p1_2nd", F.coalesce(F.max(F.when(F.col("q_p1_rank") == 2, F.col("p1"))).over(q), F.lit(0.0)))
-    out = out.withColumn("q_p1_other", F.when(F.col("q_p1_rank") == 1, F.col("q_p1_2nd")).otherwise(F.col("q_p1_max")))
     claimed = F.col("q_p1_rank") == 1
+    out = out.withColumn("q_p1_other", F.when(claimed, F.col("q_p1_2nd")).otherwise(F.col("q_p1_max")))
+    out = out.withColumns({
+        "s_p1_sum": total(exact, s), "s_p1_max": F.max("p1").over(s), "s_p1_n50": F.sum(likely).over(s), "s_p1_rank": F.row_number().over(s.orderBy(F.desc("p1"), "q_id")),
+        "s_best_sum": total(F.when(claimed, exact).otherwise(F.lit(0).cast("decimal(18,9)")), s), "s_best_n50": F.sum(F.when(claimed, likely).otherwise(0)).over(s),
+    })
     return out.withColumns({
         "q_p1_share": F.col("p1") / F.greatest("q_p1_sum", F.lit(1e-6)), "q_p1_margin": F.col("p1") - F.col("q_p1_other"),
-        "s_p1_others": F.col("s_p1_sum") - F.col("p1"), "s_p1_n50_others": F.col("s_p1_n50") - F.when(F.col("p1") >= 0.5, 1).otherwise(0),
-        "s_best_sum": F.sum(F.when(claimed, F.col("p1")).otherwise(0.0)).over(s), "s_best_n50": F.sum(F.when(claimed & (F.col("p1") >= 0.5), 1).otherwise(0)).over(s),
-    })
+        "s_p1_others": F.col("s_p1_sum") - F.col("p1"), "s_p1_n50_others": F.col("s_p1_n50") - likely,
+    }).select("q_id", "s1_id", "p1", *COMPETITION)
+
+
+def pick_variant(normal: dict[str, float], orphan: dict[str, float]) -> tuple[str, str]:
+    """(variant, reason) by gates that are fixed beforehand, from F0.5 on held-out records as they are and with orphans.
+
+    ``root`` has to come near the bar, else nothing new is chosen. A variant replaces it by a gain with orphans and hardly a loss without; ``ph2``
+    then replaces the choice by gates of its own.
+    """
+    if normal["root"] < K.BAR - K.BAR_TOLERANCE:
+        return "champion", f"root {normal['root']:.5f} is below the bar"
+    choice, why = "root", f"root {normal['root']:.5f} reaches the bar"
+    passed = {v: f for v, f in orphan.items() if v not in ("root", "ph2") and f >= orphan["root"] + K.LEAST_GAIN and normal[v] >= normal["root"] - K.MOST_LOSS}
+    if passed:
+        choice = max(passed, key=lambda v: passed[v])
+        why += f"; {choice} gains {passed[choice] - orphan['root']:.5f} with orphans"
+    if "ph2" in orphan and orphan["ph2"] >= orphan[choice] + K.SECOND_GAIN and normal["ph2"] >= normal[choice] - K.SECOND_LOSS:
+        why += f"; ph2 gains {orphan['ph2'] - orphan[choice]:.5f} over {choice}"
+        choice = "ph2"
+    return choice, why
 
 
 def phantom_view(listed: DataFrame, gone: Column) -> DataFrame:
-    """Candidate lists without the primary records for which ``gone`` holds, their list columns made anew.
+    """Candidate lists without the primary records for which ``gone`` holds, their list columns made anew; other columns stay.
 
     A lone survivor's second score was never kept: it is the old second if the best survived, else at most 0.6 of the old best.
     """
@@ -103,4 +151,5 @@ def phantom_view(listed: DataFrame, gone: Column) -> DataFrame:
     left = listed.where(~gone).withColumns({"rk": F.row_number().over(w.orderBy(F.desc("bscore"), "s1_id")), "t1": F.max("bscore").over(w)})
     left = left.withColumn("t2", F.max(F.when(F.col("rk") == 2, F.col("bscore"))).over(w))
     t2 = F.when(F.col("t2").isNotNull(), F.col("t2")).when(F.col("t1") == F.col("top1"), F.col("top2")).otherwise(F.least("t1", K.KEEP_RATIO * F.col("top1")))
-    return left.select("q_id", "s1_id", "bscore", (F.col("rk") - 1).cast("int").alias("brank"), F.col("t1").alias("top1"), t2.alias("top2"), (F.col("bscore") - F.col("t1")).alias("gap_top1"), (F.col("t1") - t2).alias("top_margin"), (F.col("bscore") / F.col("t1")).alias("ratio_top1"))
+    made = {"brank": (F.col("rk") - 1).cast("int"), "top1": F.col("t1"), "top2": t2, "gap_top1": F.col("bscore") - F.col("t1"), "top_margin": F.col("t1") - t2, "ratio_top1": F.col("bscore") / F.col("t1")}
+    return left.select(*[made[c].alias(c) if c in made else F.col(c) for c in listed.columns])

@@ -19,8 +19,8 @@ def grams(text: Column, n: int = 3, most: int = 40) -> Column:
     return F.transform(at, lambda k: F.substring(text, k, F.lit(n)))
 
 
-def features(records: DataFrame) -> DataFrame:
-    """``rec_id, src, country, ns, key``, distinct, from normalised records: arrays in the row, one explode, no shuffle."""
+def features(records: DataFrame, weights: dict[str, float] = K.WEIGHTS) -> DataFrame:
+    """``rec_id, src, country, ns, key``, distinct, from normalised records: arrays in the row, one explode, no shuffle. ``weights`` names the namespaces."""
     none = F.array().cast("array<string>")
     six, eight = F.slice("nm_tok", 1, 6), F.slice("ad_tok", 1, 8)
     words = F.filter(F.split(F.array_join("nm_parts", " "), " "), lambda x: x != "")
@@ -29,30 +29,50 @@ def features(records: DataFrame) -> DataFrame:
     cross = F.flatten(F.transform(F.slice("nm_tok", 1, 4), lambda a: F.transform(F.slice("ad_tok", 1, 6), lambda b: F.concat(a, F.lit("|"), b))))
     near = F.filter(F.transform(eight, lambda a, i: F.concat(a, F.lit("|"), F.get(eight, i + 1))), lambda x: x.isNotNull())
     spaces = {"nw": words, "ng": grams(F.col("nm_concat")), "aw": F.col("ad_tok"), "an": F.col("ad_num"), "ac": F.col("ad_code"), "ap": street, "np": pairs, "xn": cross, "ab": near}
-    every = F.concat(*[_keys(ns, v) for ns, v in spaces.items()])
+    every = F.concat(*[_keys(ns, v) for ns, v in spaces.items() if ns in weights])
     return records.select(F.col("entity_id").alias("rec_id"), "src", "country", F.explode(every).alias("f")).select("rec_id", "src", "country", "f.ns", "f.key")
 
 
-def statistics(feats: DataFrame, records: DataFrame, max_df: int = K.MAX_DF) -> DataFrame:
+def statistics(feats: DataFrame, records: DataFrame, max_df: int = K.MAX_DF, weights: dict[str, float] = K.WEIGHTS, corpus: bool = True) -> DataFrame:
     """``country, ns, key, df, cdf, idf, in_product`` of the features that primary records have.
 
-    One aggregation gives the frequency among primary records and in the whole corpus.
+    One aggregation gives the frequency among primary records and in the whole corpus. Without ``corpus`` the idf rests on primary records alone.
     """
-    counts = feats.groupBy("country", "ns", "key").agg(F.count_if(F.col("src") == 1).alias("df"), F.count("*").alias("cdf")).where("df > 0")
-    size = records.groupBy("country").agg(F.count("*").alias("n"))
+    counted = feats if corpus else feats.where("src = 1")
+    counts = counted.groupBy("country", "ns", "key").agg(F.count_if(F.col("src") == 1).alias("df"), F.count("*").alias("cdf")).where("df > 0")
+    size = (records if corpus else records.where("src = 1")).groupBy("country").agg(F.count("*").alias("n"))
     idf = F.log((F.col("n") + 1) / (F.col("cdf") + 1)) + 1
-    weight = F.create_map(*[x for ns, w in K.WEIGHTS.items() for x in (F.lit(ns), F.lit(w))])
+    weight = F.create_map(*[x for ns, w in weights.items() for x in (F.lit(ns), F.lit(w))])
     return counts.join(size, "country").select("country", "ns", "key", "df", "cdf", idf.alias("idf"), ((F.col("df") <= max_df) & (weight[F.col("ns")] > 0)).alias("in_product"))
 
 
-def weights(feats: DataFrame, stats: DataFrame) -> DataFrame:
-    """``rec_id, src, country, ns, key, w, in_product``: idf over the norm of the record's known features in the namespace."""
-    known = feats.join(stats.select("country", "ns", "key", "idf", "in_product"), ["country", "ns", "key"])
+def weights(feats: DataFrame, stats: DataFrame, unseen_idf: DataFrame | None = None) -> DataFrame:
+    """``rec_id, src, country, ns, key, w, in_product``: idf over the norm of the record's known features in the namespace.
+
+    With ``unseen_idf`` (``country, most``) unknown features stay in the norm with that idf.
+    """
+    known = feats.join(stats.select("country", "ns", "key", "idf", "in_product"), ["country", "ns", "key"], "left" if unseen_idf else "inner")
+    if unseen_idf:
+        known = known.join(unseen_idf, "country").withColumns({"idf": F.coalesce("idf", "most"), "in_product": F.coalesce("in_product", F.lit(False))}).drop("most")
     norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy("rec_id", "ns")))
     return known.withColumn("w", F.col("idf") / norm).drop("idf")
 
 
+def six_spaces(records: DataFrame) -> DataFrame:
+    """Weights of the older model: six namespaces, idf from primary records alone, unknown features with the greatest idf in the norm."""
+    feats = features(records, K.OLD_WEIGHTS)
+    stats = statistics(feats, records, K.OLD_MAX_DF, K.OLD_WEIGHTS, corpus=False)
+    most = records.where("src = 1").groupBy("country").agg((F.log(F.count("*") + 1) + 1).alias("most"))
+    return weights(feats, stats, most)
+
+
 def unseen(feats: DataFrame, stats: DataFrame) -> DataFrame:
     """``rec_id, ns, unseen``: the share of a record's features that no primary record has."""
     seen = feats.join(stats.select("country", "ns", "key", F.lit(1).alias("seen")), ["country", "ns", "key"], "left")
     return seen.groupBy("rec_id", "ns").agg((1 - F.count("seen") / F.count("*")).alias("unseen"))
+
+
+def vectors(weighted: DataFrame) -> DataFrame:
+    """``rec_id, vec``: each record's weights as one array of namespace, hashed key and weight."""
+    entry = F.struct("ns", F.xxhash64("ns", "key").alias("id"), "w")
+    return weighted.groupBy("rec_id").agg(F.collect_list(entry).alias("vec"))

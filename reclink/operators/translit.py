@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NATIVE = "[ऀ-෿]"
+from reclink.functions.constants import NATIVE
 
 
 def clean_native(x: Column) -> Column:
@@ -42,9 +42,23 @@ def learn_addresses(matched: DataFrame, least: int = 2, purity: float = 0.8) ->
     return ranked.where((F.col("rn") == 1) & (F.col("n") >= least) & (F.col("n") / F.col("total") >= purity)).select("k", "v")
 
 
-def apply_map(records: DataFrame, column: str, learned: DataFrame, split: str = r"\s+", join: str = " ") -> DataFrame:
-    """Replace known tokens (or comma components) of ``column``; unknown ones stay. Only tokens in the other script are looked up."""
-    keyed = records.withColumn("_id", F.monotonically_increasing_id())
-    parts = keyed.select("_id", F.posexplode(F.split(F.trim(column), split)).alias("pos", "x")).withColumn("k", F.when(F.col("x").rlike(NATIVE), clean_native(F.trim("x"))))
-    done = parts.join(learned, "k", "left").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("v", "x").alias("y")))).alias("ys"))
-    return keyed.join(done, "_id", "left").withColumn(column, F.coalesce(F.array_join(F.transform("ys", lambda y: F.trim(y["y"])), join), F.col(column))).drop("_id", "ys")
+def _apply(records: DataFrame, column: str, learned: DataFrame, split: str, join: str) -> DataFrame:
+    """Replace known parts of ``column``; unknown ones stay. Each distinct text in the other script is looked up once, all other rows are left alone."""
+    native = F.coalesce(F.col(column).rlike(NATIVE), F.lit(False))
+    texts = records.where(native).select(F.col(column).alias("_text")).distinct()
+    parts = texts.select("_text", F.posexplode(F.split(F.trim("_text"), split)).alias("_at", "_x")).select("_text", "_at", F.trim("_x").alias("_x"), clean_native(F.trim("_x")).alias("k"))
+    known = parts.join(learned.select("k", F.col("v").alias("_v")), "k", "left")
+    done = known.groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_v", "_x").alias("y")))).alias("_ys"))
+    done = done.select("_text", F.array_join(F.transform("_ys", lambda y: y["y"]), join).alias("_new"))
+    changed = records.where(native).join(done, F.col(column) == F.col("_text")).withColumn(column, F.col("_new")).drop("_text", "_new")
+    return records.where(~native).unionByName(changed)
+
+
+def apply_names(records: DataFrame, learned: DataFrame, column: str = "business_name") -> DataFrame:
+    """Names with their known words replaced."""
+    return _apply(records, column, learned, r"\s+", " ")
+
+
+def apply_addresses(records: DataFrame, learned: DataFrame, column: str = "business_address") -> DataFrame:
+    """Addresses with their known comma components replaced."""
+    return _apply(records, column, learned, ",", ", ")

@@ -142,3 +142,43 @@ e1 AS (SELECT *, round(1.25 * cum / (m + 0.25 * (tot + lam)), 12) AS score FROM
 e2 AS (SELECT *, max(score) OVER (PARTITION BY floor, lam, s1_id) AS top FROM e1),
 e3 AS (SELECT *, min(CASE WHEN score = top THEN m END) OVER (PARTITION BY floor, lam, s1_id) AS best_m FROM e2),
 pred AS (SELECT floor, lam, s1_id, q_id AS rid FROM e3 WHERE top > none_ AND m <= best_m)"""
+
+
+def subsequence(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two strings of up to 126 characters: the rows of the table as bits of one number."""
+    full = f"((1::HUGEINT << length({a})) - 1)"
+    at = f"list_transform(range(0, length({a})), lambda i: CASE WHEN substr({a}, CAST(i + 1 AS INTEGER), 1) = c THEN 1::HUGEINT << CAST(i AS INTEGER) ELSE 0::HUGEINT END)"
+    masks = f"list_transform(string_split({b}, ''), lambda c: CAST(list_sum({at}) AS HUGEINT))"
+    row = f"list_reduce(list_prepend({full}, {masks}), lambda row, m: ((row + (row & m)) | (row - (row & m))) & {full})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count({row}) END"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 100.0 ELSE 200.0::DOUBLE * ({subsequence(a, b)}) / (length({a}) + length({b})) END"
+
+
+def _sorted_words(x: str) -> str:
+    return f"array_to_string(list_sort({words(x)}), ' ')"
+
+
+def fuzzy(prefix: str, q: str, s: str) -> str:
+    """CTEs from ``both_``: ``<prefix>_z`` with ``q_id, s1_id`` and the four fuzzy ratios of two columns."""
+    p = prefix
+    joined = lambda rest: f"trim(shared || ' ' || {rest})"
+    return f"""
+{p}_a AS (SELECT q_id, s1_id, {q} AS a, {s} AS b, {_sorted_words(q)} AS sa, {_sorted_words(s)} AS sb, list_distinct({words(q)}) AS wa, list_distinct({words(s)}) AS wb FROM both_),
+{p}_b AS (SELECT *, array_to_string(list_sort(list_filter(wa, lambda x: list_contains(wb, x))), ' ') AS shared, array_to_string(list_sort(list_filter(wa, lambda x: NOT list_contains(wb, x))), ' ') AS l,
+  array_to_string(list_sort(list_filter(wb, lambda x: NOT list_contains(wa, x))), ' ') AS r FROM {p}_a),
+{p}_c AS (SELECT *, {joined('l')} AS one, {joined('r')} AS two FROM {p}_b),
+{p}_w AS (SELECT DISTINCT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS y FROM {p}_a WHERE a <> '' AND b <> ''
+  UNION SELECT a, b, b, a FROM {p}_a WHERE length(a) = length(b) AND a <> ''),
+{p}_v AS (SELECT DISTINCT a, b, x, substr(y, greatest(k, 0) + 1, k + length(x) - greatest(k, 0)) AS y FROM (SELECT *, unnest(range(1 - length(x), length(y))) AS k FROM {p}_w)),
+{p}_p AS (SELECT a, b, max({ratio('x', 'y')}) AS best FROM {p}_v GROUP BY 1, 2),
+{p}_z AS (SELECT q_id, s1_id, {ratio('a', 'b')} AS {p}_ratio, {ratio('sa', 'sb')} AS {p}_tsort,
+  CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0 WHEN shared <> '' AND (l = '' OR r = '') THEN 100.0
+    ELSE greatest({ratio('one', 'two')}, CASE WHEN shared = '' THEN 0.0 ELSE greatest({ratio('shared', 'one')}, {ratio('shared', 'two')}) END) END AS {p}_tset,
+  coalesce(best, CASE WHEN a = b THEN 100.0 ELSE 0.0 END) AS {p}_partial FROM {p}_c LEFT JOIN {p}_p USING (a, b))"""
+
+
+def winkler(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE jaro_winkler_similarity({a}, {b}) END"

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reclink.sources.stages import stage
+
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 
 
@@ -21,6 +23,11 @@ def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def read_cached(spark: SparkSession, folder: str, split: str, cache: str) -> DataFrame:
+    """``read_split`` through a stored copy, which is made once."""
+    return stage(spark, f"{cache}/{split}", lambda: read_split(spark, folder, split), [*SCHEMA.names, "src"])
+
+
 def truth_long(wide: DataFrame) -> DataFrame:
     """``s1_id, match_id`` from ids and comma-joined lists."""
     return wide.select(F.col("source1_entity_id").alias("s1_id"), F.explode(F.split("matched_entity_ids", ",")).alias("match_id")).where("match_id <> ''")
@@ -42,8 +49,12 @@ def write_id_lists(lists: DataFrame, path: str) -> None:
 
 
 def record_view(documents: DataFrame) -> DataFrame:
-    """Documents as records: three sources by id, country by language, names and addresses from the first words."""
-    w = F.filter(F.split(F.lower("text"), "[ \n\t\r]+"), lambda x: x != "")
+    """Documents as records: three sources by id, country by language, names and addresses from the first seven words.
+
+    A stand-in for business records, which the test tables lack; ``ck`` digests the first 60 characters and serves as a stand-in for the truth.
+    """
+    # Eight pieces hold seven words even where the text begins with blanks; no more of it is split or lower-cased.
+    w = F.filter(F.transform(F.slice(F.split("text", "[ \n\t\r]+", 9), 1, 8), F.lower), lambda x: x != "")
     cut = documents.select("doc_id", "lang", "source", "n_chars", F.slice(w, 1, 7).alias("w"), F.md5(F.substring("text", 1, 60)).alias("ck"))
     return cut.select(
         F.col("doc_id").cast("string").alias("entity_id"), (F.col("doc_id") % 3 + 1).cast("int").alias("src"), F.col("lang").alias("country"),

@@ -58,9 +58,31 @@ def finished(spark: SparkSession, path: str) -> bool:
     return files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
 
 
+def finished_file(spark: SparkSession, path: str) -> bool:
+    """Whether a single file is there."""
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _files(spark, path)
+    files.delete(where, True)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table; what its folders are named after stays text, whatever it looks like."""
+    name = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(spark: SparkSession, path: str, columns: Iterable[str]) -> bool:
     """Whether a finished table has all of ``columns``; one written before a column was added is stale."""
-    return finished(spark, path) and set(columns) <= set(spark.read.parquet(path).columns)
+    return finished(spark, path) and set(columns) <= set(read(spark, path).columns)
 
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], columns: Iterable[str] = (), by: tuple[str, ...] = ()) -> DataFrame:
@@ -71,11 +93,12 @@ def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], column
     if not fresh(spark, path, columns):
         beside = f"{path}.tmp-{uuid.uuid4().hex}"
         build().write.partitionBy(*by).parquet(beside)
+        remove(spark, path)
         files, old = _files(spark, path)
-        files.delete(old, True)
+        files.mkdirs(old.getParent())
         if not files.rename(_files(spark, beside)[1], old):
             raise OSError(f"cannot put {beside} in the place of {path}")
-    return spark.read.parquet(path)
+    return read(spark, path)
 
 
 def replace_partitions(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
