@@ -2,25 +2,83 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reclink.functions import constants as K
 
 
+#: Query records of a block, and products that a task holds at once.
+BLOCK, PRODUCTS = 512, 4_000_000
+
+
+def _block_topk(queries: pa.Table, postings: pa.Table, k: int) -> pa.Table:
+    """The top ``k`` of each query record of a block: ``q_id, country, id, qw`` against ``to_key, s1_id, sw``."""
+    q, s = (t.column(c).combine_chunks().dictionary_encode() for t, c in ((queries, "q_id"), (postings, "s1_id")))
+    # Codes in the order of the ids, which decides between equal scores.
+    names = [np.array(x.dictionary.to_pylist(), dtype=object) for x in (q, s)]
+    ranks = [np.argsort(n) for n in names]
+    codes = [np.argsort(r)[x.indices.to_numpy()] for r, x in zip(ranks, (q, s))]
+    names = [n[r] for n, r in zip(names, ranks)]
+    order = np.argsort(postings.column("to_key").to_numpy(), kind="stable")
+    ids, start, count = np.unique(postings.column("to_key").to_numpy()[order], return_index=True, return_counts=True)
+    s_code, sw = codes[1][order], postings.column("sw").to_numpy()[order]
+    mine = np.argsort(codes[0], kind="stable")
+    wanted = queries.column("id").to_numpy()[mine]
+    at = np.minimum(np.searchsorted(ids, wanted), max(len(ids) - 1, 0))
+    mine = mine[ids[at] == wanted] if len(ids) else mine[:0]
+    at = np.searchsorted(ids, queries.column("id").to_numpy()[mine])
+    q_code, qw = codes[0][mine], queries.column("qw").to_numpy()[mine]
+    n = count[at] if len(at) else np.zeros(0, np.int64)
+    country = np.empty(len(names[0]), dtype=object)
+    country[codes[0]] = queries.column("country").to_pylist()
+    # Whole query records at a time, as many as make some products.
+    ends = np.flatnonzero(np.append(q_code[1:] != q_code[:-1], True)) + 1 if len(q_code) else np.zeros(0, np.int64)
+    done = np.concatenate([[0], np.cumsum(n)])
+    out, lo = [], 0
+    while lo < len(q_code):
+        hi = int(ends[max(np.searchsorted(done[ends], done[lo] + PRODUCTS, side="right") - 1, np.searchsorted(ends, lo, side="right"))])
+        rows = np.repeat(np.arange(lo, hi), n[lo:hi])
+        place = np.arange(len(rows)) - np.repeat(done[lo:hi] - done[lo], n[lo:hi]) + start[at[rows]]
+        pair, product = q_code[rows] * np.int64(max(len(names[1]), 1)) + s_code[place], qw[rows] * sw[place]
+        order = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1])) if len(pair) else np.zeros(0, np.int64)
+        score = np.round(np.add.reduceat(product[order], first), 9) if len(first) else np.zeros(0)
+        own, other = np.divmod(pair[order][first], max(len(names[1]), 1))
+        order = np.lexsort((other, -score, own))
+        own, other, score = own[order], other[order], score[order]
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        rank = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
+        best = rank < k
+        out.append((own[best], other[best], score[best], rank[best]))
+        lo = hi
+    own, other, score, rank = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+    text = lambda x: pa.array(x, pa.string())
+    return pa.table([text(names[0][own]), text(names[1][other] if len(names[1]) else []), text(country[own]), pa.array(score, pa.float64()), pa.array(rank, pa.int32())], ["q_id", "s1_id", "country", "bscore", "brank"])
+
+
 def topk(weighted: DataFrame, k: int = K.TOP_K, weights: dict[str, float] = K.WEIGHTS) -> DataFrame:
-    """``q_id, s1_id, country, bscore, brank``. An inverted-index join on (country, namespace, key); frequent keys left the product before it.
+    """``q_id, s1_id, country, bscore, brank``: the ``k`` primary records of the greatest weighted overlap. ``weighted`` should be stored.
 
-    Adaptive execution splits keys that are hot all the same; ranks above ``k`` are cut before the window's shuffle.
+    Query records are dealt in blocks. A key's postings travel once to each block that has the key, not once to each query record, and products
+    are made and added up in the block, so the many products of frequent keys are never shuffled. Only the best ``k`` leave it. Keys above the
+    frequency bound left the product before it.
     """
     ns_weight = F.create_map(*[x for ns, w in weights.items() for x in (F.lit(ns), F.lit(w))])
-    # Keys go by their hash: the join and its shuffle then move longs instead of strings.
-    used = weighted.where(F.col("in_product") & F.col("ns").isin(*[ns for ns, w in weights.items() if w > 0])).withColumn("id", F.xxhash64("ns", "key"))
-    q = used.where("src > 1").select(F.col("rec_id").alias("q_id"), "country", "id", (ns_weight[F.col("ns")] * F.col("w")).alias("qw"))
-    s = used.where("src = 1").select(F.col("rec_id").alias("s1_id"), "country", "id", F.col("w").alias("sw"))
-    scored = q.join(s, ["country", "id"]).groupBy("q_id", "s1_id", "country").agg(F.round(F.sum(F.col("qw") * F.col("sw")), 9).alias("bscore"))
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("bscore"), "s1_id"))
-    return scored.withColumn("brank", (rank - 1).cast("int")).where(F.col("brank") < k)
+    used = weighted.where(F.col("in_product") & F.col("ns").isin(*[ns for ns, w in weights.items() if w > 0])).withColumn("id", F.xxhash64("country", "ns", "key"))
+    # The number decides on blocks alone, so an estimate is enough.
+    blocks = max(1, -(-(used.where("src > 1").agg(F.approx_count_distinct("rec_id")).first()[0] or 0) // BLOCK))
+    q = used.where("src > 1").select(F.pmod(F.xxhash64("rec_id"), F.lit(blocks)).cast("int").alias("block"), F.col("rec_id").alias("q_id"), "country", "id", (ns_weight[F.col("ns")] * F.col("w")).alias("qw"))
+    s = used.where("src = 1").select(F.col("id").alias("key"), F.col("rec_id").alias("s1_id"), F.col("w").alias("sw"))
+    needed = q.select(F.col("block").alias("for_block"), F.col("id").alias("key")).distinct()
+    shipped = needed.join(s, "key").select(F.col("for_block").alias("to_block"), F.col("key").alias("to_key"), "s1_id", "sw")
+
+    def run(queries: pa.Table, postings: pa.Table) -> pa.Table:
+        return _block_topk(queries, postings, k)
+
+    return q.groupBy("block").cogroup(shipped.groupBy("to_block")).applyInArrow(run, "q_id string, s1_id string, country string, bscore double, brank int")
 
 
 def context(top: DataFrame) -> DataFrame:

@@ -55,10 +55,10 @@ def rounds_of(model: PipelineModel) -> int:
     return model.stages[-1].getNumTrees
 
 
-def importance(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
+def importance(model: PipelineModel, features: list[str]) -> list[list]:
     """Features by their share of the gain of all splits, greatest first."""
     gains = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(features, map(float, gains)), key=lambda x: (-x[1], x[0]))
+    return sorted(([f, float(g)] for f, g in zip(features, gains)), key=lambda x: (-x[1], x[0]))
 
 
 def save(model: PipelineModel, path: str) -> None:

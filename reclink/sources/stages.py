@@ -117,7 +117,7 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> object:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def check_lists(lists: DataFrame, s1: DataFrame, others: DataFrame, column: str = "matched_entity_ids") -> dict[str, int]:
