@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclink.llm.common import materialize
+from reclink.llm.common import join_hot, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,8 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        # A node may have very many neighbours, which then do not meet in one task.
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = join_hot(both.where("b > a"), least, ["a"], "m", "n")
+        large = materialize(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         # Every edge now points from the larger to the smaller node.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
