@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept by a Python worker; the caches are emptied when they are full.
+#: Words, and units of words, kept by a Python worker; each cache is emptied when it is full.
 CACHE_WORDS = 300_000
 
 
@@ -56,7 +56,12 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
+        # The longest entry by its first three characters; whatever begins with no such three is shorter.
+        self.longest: dict[str, int] = {}
+        for t in self.vocab:
+            bare = t.removesuffix(self.end) if t != self.end else t
+            if len(bare) > 2:
+                self.longest[bare[:3]] = max(len(bare), self.longest.get(bare[:3], 0))
         self.alphabet = byte_alphabet()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {m: r for r, m in enumerate(merges)}
@@ -119,7 +124,7 @@ class WordBpe:
         """Longest match first, from the left."""
         out, at, n = [], 0, len(unit)
         while at < n:
-            stop = min(n, at + self.longest)
+            stop = min(n, at + self.longest.get(unit[at : at + 3], 2))
             found = self.vocab.get(unit[at:stop] + self.end) if stop == n else None
             if found is None:
                 stop = min(stop, n - 1) if stop == n and n - at > 1 else stop
@@ -202,8 +207,10 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of tokens, decimal ids joined by a space, decoded text."""
+        # Units outlive the words that are made of them: there are fewer, and they cost the merges.
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
+        if len(self.units) > CACHE_WORDS:
             self.units.clear()
         todo = [self.pieces(t) for t in texts]
         known = self.words
