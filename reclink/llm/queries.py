@@ -24,15 +24,31 @@ OP2_SQL = r"""
 WITH t AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s
   FROM documents),
-r AS (SELECT doc_id, s, unnest(range(0, len(s) - 2)) AS pos FROM t WHERE len(s) >= 3),
+r AS (SELECT doc_id, s, unnest(range(0, greatest(len(s) - 2, least(len(s), 1)))) AS pos FROM t),
 f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY s[pos + 1 : pos + 3] ORDER BY doc_id, pos) AS rn FROM r),
 g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(pos, pos + 3)) AS i FROM f WHERE rn > 1) GROUP BY doc_id)
-SELECT t.doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+SELECT t.doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(coalesce(len(list_filter(gone, lambda i: i < len(s))), 0) AS BIGINT) AS n_removed,
        array_to_string(list_filter(s, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10)) AS kept
 FROM t LEFT JOIN g ON t.doc_id = g.doc_id
 """
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op1_quality`` that need no ratio, which SQL can express."""
+    return op1_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, w[pos], w[pos + 1], w[pos + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS pos FROM t)),
+c AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 3)) AS i FROM r WHERE n > 1) GROUP BY 1),
+b AS (SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM l LEFT JOIN c ON l.doc_id = c.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+"""
+
+
 def op3_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.media(table(spark, sf_dir, "documents")))
 
@@ -53,6 +69,21 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), span=100)
 
 
+#: Bytes go as pairs of hexadecimal digits.
+OP7_SQL = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS i FROM t)),
+g AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1),
+b AS (SELECT *, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1) AS new FROM g),
+s AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS z FROM (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b) GROUP BY 1, 2),
+e AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, z, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS last FROM s),
+x AS (SELECT e.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(z) + 1 AS BIGINT)) AS kept
+  FROM e JOIN t ON e.doc_id = t.doc_id GROUP BY 1)
+SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM t LEFT JOIN x ON t.doc_id = x.doc_id
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"), width=3, radius=3)
 
@@ -69,6 +100,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("tree_id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+_SHOWN = r"length(regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g'))"
+OP10_SQL = rf"""
+WITH r AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + {_SHOWN.format("replace(replace(role, chr(92), repeat(chr(92), 2)), chr(10), chr(92) || 'n')")} + {_SHOWN.format('text')}) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sentences": op2_sentences,
@@ -80,8 +122,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_chat": op10_chat,
+    "quality_base": quality_base,
 }
 
 ORACLES: dict[str, str] = {
     "op2_sentences": OP2_SQL,
+    "op7_suffixes": OP7_SQL,
+    "op10_chat": OP10_SQL,
+    "quality_base": BASE_SQL,
 }
