@@ -16,7 +16,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words, and units of words, kept by a Python worker; each cache is emptied when it is full.
-CACHE_WORDS = 300_000
+#: Words and units of words kept by a Python worker; the cache is emptied when it is full.
+CACHE_WORDS = 400_000
+#: Symbols of a word up to which plain lists are faster than a heap; both give the same.
+SHORT = 48
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -45,6 +47,8 @@ class WordBpe:
 
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     SPACE = regex.compile(r"\s+")
+    #: White space to ``str.split`` alone.
+    SEPARATORS = regex.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -63,6 +67,7 @@ class WordBpe:
             if len(bare) > 2:
                 self.longest[bare[:3]] = max(len(bare), self.longest.get(bare[:3], 0))
         self.alphabet = byte_alphabet()
+        self.id_texts = {i: str(i) for i in self.names}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {m: r for r, m in enumerate(merges)}
         size = max(self.names) + 1
@@ -78,15 +83,28 @@ class WordBpe:
         self.pair_keys = np.array([k for k, _ in joined], dtype=np.int64)
         self.pair_ranks = np.array([r for _, r in joined], dtype=np.int64)
         self.own: dict[int, bool] = {}
-        self.units: dict[str, tuple[int, str, str]] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
         self.exact_words = 0
 
     def exact(self, symbols: list[str]) -> list[str]:
-        """The merge loop: join the leftmost pair of lowest rank until none is left.
-
-        Pairs wait in a heap by rank and place, and symbols are linked to their neighbours, so a word of n symbols takes n log n steps.
-        """
+        """The merge loop: join the leftmost pair of lowest rank until none is left."""
+        return self.exact_short(symbols) if len(symbols) <= SHORT else self.exact_long(symbols)
+
+    def exact_short(self, symbols: list[str]) -> list[str]:
+        none, get = len(self.rank), self.rank.get
+        ranks = [get(p, none) for p in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            symbols[i] += symbols.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((symbols[i], symbols[i + 1]), none)
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
+        return symbols
+
+    def exact_long(self, symbols: list[str]) -> list[str]:
+        """The same with a heap of pairs by rank and place, and symbols linked to their neighbours: n symbols take n log n steps."""
         get, n = self.rank.get, len(symbols)
         queue = [(r, i, i + 1) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := get(p)) is not None]
         heapq.heapify(queue)
@@ -187,31 +205,29 @@ class WordBpe:
             if k % 2:
                 out.append((True, [part]))
             elif part:
-                plain = part if part.isascii() else unicodedata.normalize("NFC", part)
-                out.append((False, lower_each(self.SPACE.sub(" ", plain)).split(" ")))
+                plain = lower_each(part if part.isascii() else unicodedata.normalize("NFC", part))
+                out.append((False, self.SPACE.sub(" ", plain).split(" ") if self.SEPARATORS.search(plain) else plain.split()))
         return out
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode words that the cache lacks, all together; a word is one or more units."""
-        cut = {w: self.WORDS.findall(w) for w in words}
-        new = list({u for units in cut.values() for u in units if u not in self.units})
-        encoded = self.encode_units(["".join([self.alphabet[b] for b in u.encode()]) for u in new])
+    def learn(self, words: set[str]) -> None:
+        """Encode words that the cache lacks, all together; a word is one or more units. Units are kept as words, as each encodes as the word that it is."""
+        known = self.words
+        cut = {w: self.WORDS.findall(w) for w in words if not w.isalpha()}
+        new = [*{w for w in words if w.isalpha()}.union(u for units in cut.values() for u in units if u not in known)]
+        # Bytes as characters of the same number, then as their stand-ins.
+        encoded = self.encode_units([u.encode().decode("latin-1").translate(self.alphabet) for u in new])
+        name, text = self.names.__getitem__, self.id_texts.__getitem__
         for u, ids in zip(new, encoded):
-            self.units[u] = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+            known[u] = (len(ids), " ".join(map(text, ids)), " ".join(map(name, ids)))
         for w, units in cut.items():
-            if len(units) == 1:
-                self.words[w] = self.units[units[0]]
-            else:
-                found = [self.units[u] for u in units]
-                self.words[w] = (sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found]))
+            if len(units) != 1:
+                n, ids, names = zip(*map(known.__getitem__, units)) if units else ((), (), ())
+                known[w] = (sum(n), " ".join(ids), " ".join(names))
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of tokens, decimal ids joined by a space, decoded text."""
-        # Units outlive the words that are made of them: there are fewer, and they cost the merges.
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        if len(self.units) > CACHE_WORDS:
-            self.units.clear()
         todo = [self.pieces(t) for t in texts]
         known = self.words
         self.learn({w for text in todo for special, words in text if not special for w in words if w not in known})
@@ -219,8 +235,8 @@ class WordBpe:
             found = []
             for special, words in text:
                 found += [(1, str(self.special[words[0]]), words[0])] if special else map(known.__getitem__, words)
-            found = [x for x in found if x[0]]
-            yield sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+            n, ids, names = zip(*found) if found else ((), (), ())
+            yield sum(n), " ".join(filter(None, ids)), " ".join(x for x, k in zip(names, n) if k) if 0 in n else " ".join(names)
 
 
 @functools.lru_cache(maxsize=4)
