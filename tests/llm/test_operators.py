@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -46,7 +48,15 @@ def docs(spark, rows):
 @pytest.fixture(scope="module")
 def awkward(spark):
     """A null id and a repeated row."""
-    return spark.createDataFrame([(None, "alone here with words", *[None] * 5), (7, "twice", *[None] * 5), (7, "twice", *[None] * 5)], SCHEMA)
+    return spark.createDataFrame([(*x, *[None] * 5) for x in AWKWARD], SCHEMA)
+
+
+AWKWARD = [(None, "alone here with words"), (7, "twice"), (7, "twice")]
+
+
+def per_row(df, *columns):
+    """Rows by id as text, as null ids do not sort."""
+    return sorted((repr(r["doc_id"]), *(r[c] for c in columns)) for r in df.collect())
 
 
 def empty(spark):
@@ -296,7 +306,8 @@ def test_bpe(spark, docs, rows, awkward):
     for k, t, *_ in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         assert (got[k]["n_tokens"], got[k]["ids_sha256"], got[k]["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)))
-    assert bpe.encode_decode(awkward, path).count() == 3 and bpe.encode_decode(empty(spark), path).count() == 0
+    expected = sorted((repr(k), len(ids := tokenizer.encode(x, add_special_tokens=False).ids), sha(" ".join(map(str, ids)))) for k, x in AWKWARD)
+    assert per_row(bpe.encode_decode(awkward, path), "n_tokens", "ids_sha256") == expected and bpe.encode_decode(empty(spark), path).count() == 0
 
 
 def test_bpe_on_random_text():
@@ -309,6 +320,13 @@ def test_bpe_on_random_text():
     assert found == [" ".join(map(str, e.ids)) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_both_merge_loops_agree():
+    encoder, r = bpe.word_bpe(public_tokenizers.path("word_bpe_49k.json")), random.Random(7)
+    for _ in range(4000):
+        symbols = encoder.symbols("".join(r.choice("aabinthesing") for _ in range(r.randint(1, 60))))
+        assert encoder.exact_short(list(symbols)) == encoder.exact_long(list(symbols))
+
+
 def test_packing(spark, docs, rows, awkward):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
@@ -331,7 +349,19 @@ def test_packing(spark, docs, rows, awkward):
     for p in places.values():
         p.sort()
         assert [o for o, _ in p] == [sum(n for _, n in p[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 1024
-    assert packing.pack_documents(awkward, path).count() == 3 and packing.pack_documents(empty(spark), path).count() == 0
+    made = packing.pack_documents(awkward, path).collect()
+    crc = lambda x: zlib.crc32(np.array(tokenizer.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert sorted((repr(r["doc_id"]), r["piece"], r["ids_crc32"]) for r in made) == sorted((repr(k), 0, crc(x)) for k, x in AWKWARD)
+    assert len({(r["sequence_id"], r["offset"]) for r in made}) == 3 and packing.pack_documents(empty(spark), path).count() == 0
+
+
+def test_packing_of_one_hot_cell(spark):
+    """Very many rows without an id and of one text: no piece is lost, no place taken twice."""
+    made = packing.pack_documents(spark.range(3_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a few words").alias("text")), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    length = made[0]["length"]
+    places = {(r["sequence_id"], r["offset"]) for r in made}
+    assert len(made) == len(places) == 3_000 and all(r["offset"] % length == 0 and r["offset"] + length <= 1024 for r in made)
+    assert len({s for s, _ in places}) <= -(-3_000 // (1024 // length))
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -366,7 +396,7 @@ def test_pii(spark, docs, rows, awkward):
         base = brute_pii(t or "")
         assert got[k]["base_sha256"] == sha(",".join(f"{a}:{b}:{c}" for a, b, c in base))
         assert [got[k][f"n_{x}"] for x in pii.KINDS] == [sum(s[0] == x for s in base) for x in pii.KINDS]
-    assert pii.find_pii(awkward).count() == 3 and pii.find_pii(empty(spark)).count() == 0
+    assert per_row(pii.find_pii(awkward), "spans", "base_sha256") == sorted((repr(k), "", sha("")) for k, _ in AWKWARD) and pii.find_pii(empty(spark)).count() == 0
     r = random.Random(3)
     for _ in range(20000):
         t = "".join(r.choice("a.@1-+ 9%(b2") for _ in range(r.randint(0, 40)))
@@ -508,7 +538,8 @@ def test_simhash(spark, docs, rows, awkward):
     fps = {k: fingerprint(t or "") for k, t, *_ in rows}
     roots = brute_components(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
     assert {k: (r["fingerprint"], r["component_id"]) for k, r in by_id(simhash.near_copies(docs)).items()} == {k: (f"{f:016x}", roots[k]) for k, f in fps.items()}
-    assert simhash.near_copies(awkward).count() == 3 and simhash.near_copies(empty(spark)).count() == 0
+    assert per_row(simhash.near_copies(awkward), "fingerprint", "component_id") == sorted([("None", f"{fingerprint(AWKWARD[0][1]):016x}", None)] + [("7", f"{fingerprint('twice'):016x}", 7)] * 2, key=str)
+    assert simhash.near_copies(empty(spark)).count() == 0
 
 
 @pytest.mark.parametrize("leaf", [40, 150])
@@ -554,6 +585,36 @@ def test_near_duplicates(spark, rows):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_of_each(spark):
+    """Shared and null ids, repeated rows, null texts and clashing names: one row of each group stays, unrelated ones all do."""
+    r = random.Random(31)
+    text = lambda: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    near = a.replace(a.split()[30], "other", 1)
+    rows = [(1, a), (7, near), (7, b), (9, c), (9, c), (None, c), (None, d), (None, d), (3, None), (4, ""), (5, b + " more")]
+    docs = spark.createDataFrame([(*x, k, "k", 1.5) for k, x in enumerate(rows)], "doc_id long, text string, point int, mark string, root double").repartition(4)
+    kept = simhash.first_of_each(docs)
+    assert kept.columns == docs.columns and all(x["mark"] == "k" and x["root"] == 1.5 for x in kept.collect())
+    # Of a repeated row the smallest other columns stay.
+    assert sorted(map(repr, (tuple(x)[:3] for x in kept.collect()))) == sorted(map(repr, [(1, a, 0), (5, b + " more", 10), (9, c, 3), (None, d, 6), (3, None, 8)]))
+    classes = [(1, 1), (7, 1), (7, 5), (9, 9), (9, 9), (None, 9), (None, None), (None, None), (3, 3), (4, 3), (5, 5)]
+    assert sorted(map(repr, map(tuple, simhash.near_duplicates(docs).collect()))) == sorted(map(repr, classes))
+    assert simhash.first_of_each(empty(spark)).count() == 0
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """Large bands and groups are dealt in blocks, of which each two meet; the classes are the same."""
+    r = random.Random(6)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(80)]
+    texts = {k: " ".join(words[:40] + [f"x{k}"] + words[40:]) for k in range(40)} | {100 + k: " ".join(f"v{r.randint(0, 10**6)}" for _ in range(70)) for k in range(10)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = {k: 0 if k < 100 else k for k in texts}
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs).collect()} == expected
+    monkeypatch.setattr(simhash, "BLOCK_POINTS", 7)
+    monkeypatch.setattr(simhash, "EXACT_POINTS", 5)
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs).collect()} == expected
+
+
 def test_near_duplicates_at_the_border(spark):
     """Pairs planted just above and just below a similarity of 0.8 are decided by their whole shingle sets."""
     r = random.Random(12)
@@ -579,7 +640,40 @@ def test_sharding(spark, docs, rows, awkward):
     assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
     texts = {k: t or "" for k, t, *_ in rows}
     assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(texts[r["doc_id"]].encode()) + 1, zlib.crc32(texts[r["doc_id"]].encode()), "rows", None) for r in got)
-    assert sharding.shard_documents(awkward).count() == 3 and sharding.shard_documents(empty(spark)).count() == 0
+    assert placed(sharding.shard_documents(awkward)) == brute_ring(AWKWARD) and sharding.shard_documents(empty(spark)).count() == 0
+    assert placed(sharding.shard_documents(docs)) == brute_ring([(k, t) for k, t, *_ in rows])
+
+
+def placed(df):
+    return sorted((repr(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in df.collect())
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of whole numbers; nulls are passed over."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) * (seed >> 63)
+
+
+def brute_ring(rows, shards=8):
+    """Key by key: from its arc clockwise, past full shards, to the first virtual node of a shard with room."""
+    ring = sorted((sharding._hash(f"shard {s} node {v}") % sharding.ARCS, sharding._hash(f"tie {s} {v}"), s) for s in range(shards) for v in range(sharding.VIRTUAL_NODES))
+    keys = []
+    for doc, text in rows:
+        raw = (text or "").encode()
+        size, crc = len(raw) + 1, zlib.crc32(raw)
+        cell = (spark_hash(doc) % sharding.ARCS, spark_hash(doc, size, crc) % sharding.SUBCELLS)
+        keys.append((sharding._hash(f"cell {cell[0]} {cell[1]}"), cell, doc is not None, doc or 0, crc, size))
+    left, used, out = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)], [0] * shards, []
+    for _, (arc, _), named, doc, crc, _ in sorted(keys):
+        begin = next((i for i, (place, _, _) in enumerate(ring) if place >= arc), 0)
+        shard = next(s for _, _, s in ring[begin:] + ring[:begin] if left[s])
+        out.append((repr(doc if named else None), crc, shard, used[shard]))
+        left[shard] -= 1
+        used[shard] += 1
+    return sorted(out)
 
 
 def test_ring_order_and_movement():
@@ -660,3 +754,44 @@ def test_long_chain(spark):
     rows = spark.range(70).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     got = chat.conversations(chat.chain(rows), 1).collect()
     assert [t for _, t in chat.read_turns(got[0]["formatted"])] == [str(k) for k in range(70)]
+
+
+def test_long_text_of_words(spark):
+    """A million words: exact counts, in seconds."""
+    r = random.Random(8)
+    w = [f"w{r.randint(0, 2000)}" for _ in range(1_000_000)]
+    runs = collections.Counter(zip(w, w[1:], w[2:]))
+    covered = {j for i, x in enumerate(zip(w, w[1:], w[2:])) if runs[x] > 1 for j in (i, i + 1, i + 2)}
+    docs = spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")
+    got = quality.quality(docs, spark.createDataFrame([], LABELS)).select("n_words", "n_repeat_words").first()
+    assert tuple(got) == (1_000_000, len(covered)) and 0 < len(covered) < 1_000_000
+
+
+def test_long_words_and_blanks():
+    """Time in proportion: one word of 200,000 letters, a megabyte of blanks and of brackets beside a clue."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    r = random.Random(1)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.monotonic()
+    (found,) = bpe.word_bpe(path).encode_batch([word])
+    assert time.monotonic() - began < 20
+    assert found[1] == " ".join(map(str, tokenizer.encode(word, add_special_tokens=False).ids))
+    for text in ("(dot)" + " " * 1_000_000, " " * 1_000_000 + "(dot) x at y", ("(" + " " * 2000) * 500 + " dot ", "1 dot " * 200_000, "x at " * 200_000 + "(dot)", "a@" * 500_000):
+        began = time.monotonic()
+        pii.find(text)
+        assert time.monotonic() - began < 10, text[:9]
+
+
+def test_long_media_in_little_memory():
+    """20 MB of text: the file is made and read in a few times that."""
+    payload = (b"some text of words, " * 1_000_000).ljust(-(-20_000_000 // 192) * 192, b" ")
+    tracemalloc.start()
+    try:
+        video = media.read_avi(media.write_avi(payload))
+        assert media.payload_of(video) == payload and media.clip_rows(video)
+        assert tracemalloc.get_traced_memory()[1] < 7 * len(payload)
+    finally:
+        tracemalloc.stop()
