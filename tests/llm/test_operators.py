@@ -75,18 +75,22 @@ LABELS = "doc_id long, quality int, toxic int"
 
 
 def test_quality(spark, docs, rows):
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)] + [(None, 1, 0), (45, None, None)], LABELS)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)] + [(45, 0, 1), (46, 0, 1), (47, 1, 1), (48, 1, 1), (None, 1, 0), (49, None, None)], LABELS)
+    good_ids, toxic_ids = {*range(30)}, {45, 46, 47, 48}
     got = by_id(quality.quality(docs, labels, threshold=-0.04))
-    raw, good = collections.Counter(), collections.Counter()
-    bucket = lambda words: _chain(words) % quality.BUCKETS
+    half = lambda k: spark_hash(b"half", k) % 2
+    raw, good, toxic = collections.Counter(), [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
     grams = {}
     for k, t, *_ in rows:
-        w = re.findall(WORD, t or "")
-        grams[k] = [bucket([x]) for x in w] + [bucket(w[i : i + 2]) for i in range(len(w) - 1)]
+        u = [spark_hash(x.encode()) for x in re.findall(WORD, t or "")]
+        grams[k] = [x % quality.BUCKETS for x in u + [spark_hash(x, y) for x, y in zip(u, u[1:])]]
         raw.update(grams[k])
-        good.update(grams[k] if k < 30 else [])
-    n, g = sum(raw.values()) + quality.BUCKETS, sum(good.values()) + quality.BUCKETS
-    ratio = lambda b: round(quality.SCALE * (np.log((good[b] + 1) / g) - np.log((raw[b] + 1) / n)))
+        good[half(k)].update(grams[k] if k in good_ids else [])
+        toxic[half(k)].update(grams[k] if k in toxic_ids else [])
+    every = sum(raw.values())
+    more = lambda b: quality.SMOOTHING * raw[b] / every
+    share = lambda c, b: (c[b] + more(b)) / (sum(c.values()) + quality.SMOOTHING)
+    mean = lambda k, ratio: sum(round(quality.SCALE * ratio(b)) for b in grams[k]) / (len(grams[k]) * quality.SCALE) if grams[k] else 0.0
     for k, t, *_ in rows:
         w = re.findall(WORD, t or "")
         runs = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -97,10 +101,18 @@ def test_quality(spark, docs, rows):
         assert tuple(got[k][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == (
             len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), failed
         )
-        score = sum(map(ratio, grams[k])) / (len(grams[k]) * quality.SCALE) if w else 0.0
-        assert got[k]["score"] == pytest.approx(score, abs=2e-6)
-        assert got[k]["kept"] == (not failed and got[k]["score"] >= -0.04)
+        g, x = good[1 - half(k)], toxic[1 - half(k)]
+        assert got[k]["score"] == pytest.approx(mean(k, lambda b: np.log(share(g, b)) - np.log(raw[b] / every)), abs=2e-6)
+        assert got[k]["toxicity"] == pytest.approx(mean(k, lambda b: np.log(share(x, b)) - np.log(share(g, b))), abs=2e-6)
+        assert not (failed and got[k]["kept"])
+    # Labels without bad documents give no cut, so the given threshold counts; without one all that the base rules keep is kept.
+    some = labels.where("quality = 1")
+    for threshold in (-0.04, 0.01):
+        found = quality.quality(docs, some.where("toxic = 0"), threshold=threshold).collect()
+        assert all(r["kept"] == (not r["base_failed"] and r["score"] >= threshold) for r in found)
+    assert all(r["kept"] != r["base_failed"] for r in quality.quality(docs, some.where("toxic = 0")).collect())
     assert quality.quality(empty(spark), spark.createDataFrame([], LABELS)).count() == 0
+    assert quality.quality(empty(spark), labels).count() == 0
 
 
 @pytest.mark.parametrize("size", ["0.001", "0.01"])
@@ -129,13 +141,6 @@ def test_quality_toxic(spark):
     assert quality.cut_between([1.0], []) == quality.cut_between([1.0], [2.0]) == -np.inf
 
 
-def _chain(words):
-    seed = 42
-    for w in words:
-        seed = xxhash.xxh64_intdigest(w.encode(), seed)
-    return seed - (1 << 64) if seed >> 63 else seed
-
-
 def brute_sentences(rows, run=3):
     """(id, sentences, removed, kept) for every row; equal rows are one, rows of one id go by a hash of the text."""
     mark = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64) * (h >> 63)
@@ -649,11 +654,11 @@ def placed(df):
 
 
 def spark_hash(*values):
-    """Spark's xxhash64 of whole numbers; nulls are passed over."""
+    """Spark's xxhash64 of whole numbers and of bytes; nulls are passed over."""
     seed = 42
     for v in values:
         if v is not None:
-            seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), seed)
+            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), seed)
     return seed - (1 << 64) * (seed >> 63)
 
 
