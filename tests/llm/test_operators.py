@@ -74,23 +74,35 @@ def sha(x):
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def test_quality(spark, docs, rows):
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)] + [(45, 0, 1), (46, 0, 1), (47, 1, 1), (48, 1, 1), (None, 1, 0), (49, None, None)], LABELS)
-    good_ids, toxic_ids = {*range(30)}, {45, 46, 47, 48}
+def test_quality(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(quality, "TOXIC_LEAST", 1.0)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)] + [(45, 0, 1), (46, 0, 1), (53, 1, 1), (54, 1, 1), (55, 1, 1), (56, 1, 1), (None, 1, 0), (49, None, None)], LABELS)
+    good_ids, toxic_ids = {*range(30)}, {45, 46, 53, 54, 55, 56}
     got = by_id(quality.quality(docs, labels, threshold=-0.04))
     half = lambda k: spark_hash(b"half", k) % 2
-    raw, good, toxic = collections.Counter(), [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    raw, good = collections.Counter(), [collections.Counter(), collections.Counter()]
+    fine, toxic = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
     grams = {}
     for k, t, *_ in rows:
         u = [spark_hash(x.encode()) for x in re.findall(WORD, t or "")]
-        grams[k] = [x % quality.BUCKETS for x in u + [spark_hash(x, y) for x, y in zip(u, u[1:])]]
-        raw.update(grams[k])
-        good[half(k)].update(grams[k] if k in good_ids else [])
-        toxic[half(k)].update(grams[k] if k in toxic_ids else [])
+        grams[k] = u + [spark_hash(x, y) for x, y in zip(u, u[1:])]
+        coarse = [x % quality.BUCKETS for x in grams[k]]
+        raw.update(coarse)
+        good[half(k)].update(coarse if k in good_ids else [])
+        fine[half(k)].update([x % quality.TOXIC_BUCKETS for x in grams[k]] if k in good_ids else [])
+        toxic[half(k)].update([x % quality.TOXIC_BUCKETS for x in grams[k]] if k in toxic_ids else [])
     every = sum(raw.values())
-    more = lambda b: quality.SMOOTHING * raw[b] / every
-    share = lambda c, b: (c[b] + more(b)) / (sum(c.values()) + quality.SMOOTHING)
-    mean = lambda k, ratio: sum(round(quality.SCALE * ratio(b)) for b in grams[k]) / (len(grams[k]) * quality.SCALE) if grams[k] else 0.0
+
+    def score(c, h):
+        b = h % quality.BUCKETS
+        return np.log((c[b] + quality.SMOOTHING * raw[b] / every) / (sum(c.values()) + quality.SMOOTHING)) - np.log(raw[b] / every)
+
+    def toxicity(c, g, h):
+        b = h % quality.TOXIC_BUCKETS
+        ratio = np.log((c[b] + quality.TOXIC_PRIOR) / (g[b] / sum(g.values()) * sum(c.values()) + quality.TOXIC_PRIOR))
+        return ratio if ratio >= quality.TOXIC_LEAST else 0.0
+
+    mean = lambda k, ratio: sum(round(quality.SCALE * ratio(h)) for h in grams[k]) / (len(grams[k]) * quality.SCALE) if grams[k] else 0.0
     for k, t, *_ in rows:
         w = re.findall(WORD, t or "")
         runs = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -101,10 +113,11 @@ def test_quality(spark, docs, rows):
         assert tuple(got[k][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == (
             len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), failed
         )
-        g, x = good[1 - half(k)], toxic[1 - half(k)]
-        assert got[k]["score"] == pytest.approx(mean(k, lambda b: np.log(share(g, b)) - np.log(raw[b] / every)), abs=2e-6)
-        assert got[k]["toxicity"] == pytest.approx(mean(k, lambda b: np.log(share(x, b)) - np.log(share(g, b))), abs=2e-6)
+        g, f, x = good[1 - half(k)], fine[1 - half(k)], toxic[1 - half(k)]
+        assert got[k]["score"] == pytest.approx(mean(k, lambda h: score(g, h)), abs=2e-6)
+        assert got[k]["toxicity"] == pytest.approx(mean(k, lambda h: toxicity(x, f, h)), abs=2e-6)
         assert not (failed and got[k]["kept"])
+    assert any(r["toxicity"] > 0 for r in got.values())
     # Labels without bad documents give no cut, so the given threshold counts; without one all that the base rules keep is kept.
     some = labels.where("quality = 1")
     for threshold in (-0.04, 0.01):
