@@ -444,6 +444,43 @@ def test_disguised_addresses(text, kind, hidden):
     assert not hidden or left == text.replace(hidden, f"<{kind.upper()}>")
 
 
+def disguised(r):
+    """(kind of disguise, kind of identifier, disguised text), made by rule."""
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    names = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    back = {}
+    for odd, plain in pii.LOOKALIKES.items():
+        back.setdefault(plain, []).append(odd)
+    spelled = lambda t: " ".join("plus" if c == "+" else names[int(c)] for c in t)
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) for c in t)
+    mail = f"{word()}.{word()}@{word()}.{r.choice(['com', 'org', 'net', 'de'])}"
+    ip, phone = ".".join(str(r.randint(0, 255)) for _ in range(4)), "+" + "".join(str(r.randint(0, 9)) for _ in range(r.randint(10, 12)))
+    card = next(c for c in (str(r.randint(10**15, 10**16 - 1)) for _ in range(1000)) if pii.luhn(c))
+    place = r.choice([k for k, c in enumerate(mail) if c in back])
+    yield "look-alike", "email", mail[:place] + r.choice(back[mail[place]]) + mail[place + 1 :]
+    yield "wide", "email", wide(mail)
+    yield "styled", "email", "".join(chr(0x1D41A + ord(c) - 97) if "a" <= c <= "z" else c for c in mail)
+    yield "brackets", "email", mail.replace("@", r.choice([" (at) ", "[at]", " {at} "])).replace(".", r.choice([" (dot) ", "[.]", "[dot]"]))
+    yield "words", "email", mail.replace("@", " at ").replace(".", " dot ")
+    yield "invisible", "email", "\u200b".join(mail)
+    yield "brackets", "ip", ip.replace(".", r.choice(["[.]", "(dot)", " dot "]))
+    yield "spelled", "ip", " dot ".join(spelled(p) for p in ip.split("."))
+    yield "digits", "ip", "".join(chr(0x660 + int(c)) if c.isdigit() else c for c in ip)
+    yield "wide", "card", wide(card)
+    yield "spelled", "card", spelled(card)
+    yield "wide", "phone", wide(phone)
+    yield "spelled", "phone", spelled(phone)
+
+
+def test_recall_of_disguises():
+    r = random.Random(5)
+    for _ in range(60):
+        for how, kind, hidden in disguised(r):
+            before, behind = "seen by them: ", " , and so on"
+            base, added = pii.find(before + hidden + behind)
+            assert (kind, len(before), len(before) + len(hidden)) in base + added, (how, hidden)
+
+
 def brute_suffixes(rows, span):
     """By row number: (bytes, removed, spans, digest); ``rows`` are (id, text), and equal ones are one."""
     order = sorted({(-(2**63) if k is None else k, suffixes.text_mark((t or "").encode()), (t or "").encode()) for k, t in rows})
