@@ -52,6 +52,9 @@ ADDRESS_STOP = (
     "n", "s", "e", "w", "ne", "nw", "se", "sw",
 )
 
+# An address token that an older rule kept.
+LATER_STOP = "ndeg"
+
 # Retrieval weight of each feature namespace.
 WEIGHTS = {"nw": 0.15, "ng": 0.15, "aw": 0.20, "an": 0.0, "ac": 0.10, "ap": 0.10, "np": 0.10, "xn": 0.15, "ab": 0.05}
 MAX_DF, TOP_K, KEEP, KEEP_RATIO = 6000, 20, 10, 0.6

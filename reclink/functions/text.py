@@ -114,13 +114,20 @@ def name_columns(raw: Column) -> dict[str, Column]:
     }
 
 
-def address_columns(raw: Column) -> dict[str, Column]:
-    """``ad, ad_comp, ad_tok, ad_code, ad_nums`` from an address."""
-    s = F.regexp_replace(F.lower(fold(raw)), K.NULL_WORD, " ")
+def address_columns(raw: Column, old: bool = False) -> dict[str, Column]:
+    """``ad, ad_comp, ad_tok, ad_code, ad_nums`` from an address.
+
+    ``old``: an older rule of codes, by which ``#`` parts them, ``null`` does not leave them and their digits alone are no code, and one token less is without identity.
+    """
+    whole = F.lower(fold(raw))
+    s = F.regexp_replace(whole, K.NULL_WORD, " ")
     canon = canonical(K.ADDRESS_CANON)
     lead = lambda x: F.regexp_replace(x, K.LEADING_ZEROS, "")
-    codes = F.transform(F.filter(F.regexp_extract_all(F.regexp_replace(s, "#", ""), F.lit(K.CODE), 0), lambda x: x.rlike(r"\d")), lambda x: lead(F.regexp_replace(x, K.CODE_MARKS, "")))
-    codes = F.concat(codes, F.transform(codes, lambda x: lead(F.regexp_replace(x, "[a-z]", ""))))
+    coded = F.regexp_replace(whole, "#", " ") if old else F.regexp_replace(s, "#", "")
+    codes = F.transform(F.filter(F.regexp_extract_all(coded, F.lit(K.CODE), 0), lambda x: x.rlike(r"\d")), lambda x: lead(F.regexp_replace(x, K.CODE_MARKS, "")))
+    if not old:
+        codes = F.concat(codes, F.transform(codes, lambda x: lead(F.regexp_replace(x, "[a-z]", ""))))
+    stop = [x for x in K.ADDRESS_STOP if not old or x != K.LATER_STOP]
     split = s
     for seam in K.SEAMS:
         split = F.regexp_replace(split, seam, "$1 $2")
@@ -131,7 +138,7 @@ def address_columns(raw: Column) -> dict[str, Column]:
     return {
         "ad": F.array_join(F.transform(toks, lambda x: canon(number(x))), " "),
         "ad_comp": F.filter(F.transform(F.split(split, ","), lambda x: F.trim(plain(x))), lambda x: x != ""),
-        "ad_tok": F.array_distinct(F.filter(words, lambda x: ~x.isin(*K.ADDRESS_STOP) & (F.length(x) > 1))),
+        "ad_tok": F.array_distinct(F.filter(words, lambda x: ~x.isin(*stop) & (F.length(x) > 1))),
         "ad_code": F.array_distinct(F.filter(codes, lambda x: F.length(x) > 1)),
         "ad_nums": F.transform(F.filter(toks, lambda x: x.rlike(K.WHOLE_NUMBER)), number),
     }

@@ -32,6 +32,16 @@ def test_addresses(spark, address, column, expected):
     assert one(spark, "", address)[column] == expected
 
 
+def test_older_address_codes(spark):
+    from pyspark.sql import functions as F
+
+    from reclink.functions import text
+
+    rows = spark.createDataFrame([("C-24/1 Oak #12b ndeg Row",)], "a string")
+    got = [rows.select(*[c.alias(n) for n, c in text.address_columns(F.col("a"), old).items()]).first() for old in (False, True)]
+    assert [g["ad_code"] for g in got] == [["c241", "12b", "241", "12"], ["c241", "12b"]] and [g["ad_tok"] for g in got] == [["oak", "row"], ["oak", "ndeg", "row"]]
+
+
 def subsequence(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
