@@ -59,6 +59,13 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return tidy
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most, so that what is made of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray | list]]:
     """Columns of rows sorted by the first column, in pieces of about ``least`` rows that never part equal first values."""
     held: list[pa.RecordBatch] = []

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclink.llm.common import join_hot, materialize, runs, tidied
+from reclink.llm.common import join_hot, materialize, runs, slices, tidied
 from reclink.llm.components import components
 
 #: Most points in the driver's sample, points to aim at in a shard, and shards to aim at on small tables.
@@ -189,7 +189,7 @@ BINS, BANDS, ROWS = 256, 14, 4
 #: Points of one band key that are compared in one task; more are dealt into blocks.
 BLOCK_POINTS = 3_000
 #: Points and shingle hashes of one group of candidates that are compared exactly in one block.
-EXACT_POINTS, EXACT_HASHES = 1_000, 2_000_000
+EXACT_POINTS, EXACT_HASHES = 1_000, 1_000_000
 _SEEDS = np.random.default_rng(20_240_602).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -289,7 +289,7 @@ def _members(docs: DataFrame, width: int, least: float, radius: int, margin: flo
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = [sketch(t, width) for t in b.column(2).to_pylist()]
             signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(made) + 1, BANDS), pa.int32()), pa.array(signed([k for m in made for k in m[3]]), pa.int64()))
@@ -329,7 +329,7 @@ def _members(docs: DataFrame, width: int, least: float, radius: int, margin: flo
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             # Repeated rows of one text meet here; one is enough.
             new = [p not in seen and not seen.add(p) for p in b.column(1).to_pylist()]
             b = b.filter(pa.array(new, pa.bool_()))
