@@ -99,8 +99,7 @@ def test_quality(spark, docs, rows, monkeypatch):
 
     def toxicity(c, g, h):
         b = h % quality.TOXIC_BUCKETS
-        ratio = np.log((c[b] + quality.TOXIC_PRIOR) / (g[b] / sum(g.values()) * sum(c.values()) + quality.TOXIC_PRIOR))
-        return ratio if ratio >= quality.TOXIC_LEAST else 0.0
+        return float(np.log((c[b] + quality.TOXIC_PRIOR) / (g[b] / sum(g.values()) * sum(c.values()) + quality.TOXIC_PRIOR)) >= quality.TOXIC_LEAST)
 
     mean = lambda k, ratio: sum(round(quality.SCALE * ratio(h)) for h in grams[k]) / (len(grams[k]) * quality.SCALE) if grams[k] else 0.0
     for k, t, *_ in rows:
