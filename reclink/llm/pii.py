@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclink.llm.common import tidied
+from reclink.llm.common import slices, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -299,7 +299,7 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 base, added = find(text or "")

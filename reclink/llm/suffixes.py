@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclink.llm.common import materialize, runs, tidied
+from reclink.llm.common import materialize, runs, slices, tidied
 
 #: Bytes of an anchor substring; strings of ``span`` bytes hold ``span - GRAM + 1`` of them.
 GRAM = 32
@@ -150,7 +150,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         key, mark = np.array([*held], dtype=np.int64).reshape(-1, 2).T
         return Chunk(key, mark, [*held.values()])
 
-    for b in batches:
+    for b in slices(batches):
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             raw = text.encode()
             held[key, text_mark(raw)] = raw
@@ -544,13 +544,13 @@ def remove_repeats(docs: DataFrame, span: int = 100, id_column: str = "doc_id",
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
+        for b in slices(batches):
             raw = [t.encode() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(text_mark, raw), pa.int64()), pa.array(map(zip_, raw), pa.binary()), b.column(2)], ["key", "mark", "packed", "others"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for packed_text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 text, at, kept = unzip(packed_text), 0, []
