@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,75 +12,167 @@ from pyspark.sql import functions as F
 from reclink.functions import constants as K
 
 
-#: Query records of a block, and products that a task holds at once.
-BLOCK, PRODUCTS = 512, 4_000_000
-
-
-def _block_topk(queries: pa.Table, postings: pa.Table, k: int) -> pa.Table:
-    """The top ``k`` of each query record of a block: ``q_id, country, id, qw`` against ``to_key, s1_id, sw``."""
-    q, s = (t.column(c).combine_chunks().dictionary_encode() for t, c in ((queries, "q_id"), (postings, "s1_id")))
-    # Codes in the order of the ids, which decides between equal scores.
-    names = [np.array(x.dictionary.to_pylist(), dtype=object) for x in (q, s)]
-    ranks = [np.argsort(n) for n in names]
-    codes = [np.argsort(r)[x.indices.to_numpy()] for r, x in zip(ranks, (q, s))]
-    names = [n[r] for n, r in zip(names, ranks)]
-    order = np.argsort(postings.column("to_key").to_numpy(), kind="stable")
-    ids, start, count = np.unique(postings.column("to_key").to_numpy()[order], return_index=True, return_counts=True)
-    s_code, sw = codes[1][order], postings.column("sw").to_numpy()[order]
-    mine = np.argsort(codes[0], kind="stable")
-    wanted = queries.column("id").to_numpy()[mine]
-    at = np.minimum(np.searchsorted(ids, wanted), max(len(ids) - 1, 0))
-    mine = mine[ids[at] == wanted] if len(ids) else mine[:0]
-    at = np.searchsorted(ids, queries.column("id").to_numpy()[mine])
-    q_code, qw = codes[0][mine], queries.column("qw").to_numpy()[mine]
-    n = count[at] if len(at) else np.zeros(0, np.int64)
-    country = np.empty(len(names[0]), dtype=object)
-    country[codes[0]] = queries.column("country").to_pylist()
-    # Whole query records at a time, as many as make some products.
-    ends = np.flatnonzero(np.append(q_code[1:] != q_code[:-1], True)) + 1 if len(q_code) else np.zeros(0, np.int64)
-    done = np.concatenate([[0], np.cumsum(n)])
-    out, lo = [], 0
-    while lo < len(q_code):
-        hi = int(ends[max(np.searchsorted(done[ends], done[lo] + PRODUCTS, side="right") - 1, np.searchsorted(ends, lo, side="right"))])
-        rows = np.repeat(np.arange(lo, hi), n[lo:hi])
-        place = np.arange(len(rows)) - np.repeat(done[lo:hi] - done[lo], n[lo:hi]) + start[at[rows]]
-        pair, product = q_code[rows] * np.int64(max(len(names[1]), 1)) + s_code[place], qw[rows] * sw[place]
-        order = np.argsort(pair, kind="stable")
-        first = np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1])) if len(pair) else np.zeros(0, np.int64)
-        score = np.round(np.add.reduceat(product[order], first), 9) if len(first) else np.zeros(0)
-        own, other = np.divmod(pair[order][first], max(len(names[1]), 1))
-        order = np.lexsort((other, -score, own))
-        own, other, score = own[order], other[order], score[order]
-        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
-        rank = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
-        best = rank < k
-        out.append((own[best], other[best], score[best], rank[best]))
-        lo = hi
-    own, other, score, rank = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
-    text = lambda x: pa.array(x, pa.string())
-    return pa.table([text(names[0][own]), text(names[1][other] if len(names[1]) else []), text(country[own]), pa.array(score, pa.float64()), pa.array(rank, pa.int32())], ["q_id", "s1_id", "country", "bscore", "brank"])
+#: Features of primary records, and of query records, that a task holds at most (in about 20 bytes each), and features of query records that
+#: are worth a task; tasks to aim at where the tables are small.
+PART, BLOCK, LEAST_BLOCK, TASKS = 4_000_000, 4_000_000, 50_000, 24
+#: Primary records of which one maximum is taken in the search for the bound of the best.
+STRIDE = 64
+
+
+def _grid(used: DataFrame) -> tuple[dict[str, tuple[int, int, int]], int]:
+    """(first cell, parts of the primary records, blocks of the query records) of each country that has both, and the most parts of any."""
+    sizes = used.groupBy("country").agg(F.count_if(F.col("src") == 1).alias("s"), F.count_if(F.col("src") > 1).alias("q")).where("s > 0 AND q > 0").orderBy("country").collect()
+    total, first, grid = sum(r["q"] for r in sizes), 0, {}
+    for r in sizes:
+        parts = -(-r["s"] // PART)
+        wanted = min(-(-TASKS * r["q"] // (total * parts)), -(-r["q"] // LEAST_BLOCK))
+        blocks = max(wanted, -(-r["q"] // BLOCK))
+        grid[r["country"]] = (first, parts, blocks)
+        first += parts * blocks
+    return grid, max((parts for _, parts, _ in grid.values()), default=0)
+
+
+def _spread(grid: dict[str, tuple[int, int, int]]):
+    """A function for ``mapInArrow``: rows ``rec_id, country, primary, dealt, id, w`` packed by the cells that they go to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(grid)
+        first, parts, blocks = (np.array([grid[c][k] for c in names], dtype=np.int64) for k in range(3))
+        for b in batches:
+            country = b.column(1).dictionary_encode()
+            known = {c: k for k, c in enumerate(names)}
+            at = np.array([known.get(c, -1) for c in country.dictionary.to_pylist()], dtype=np.int64)[country.indices.to_numpy()]
+            rows = np.flatnonzero(at >= 0)
+            if not len(rows):
+                continue
+            at, primary, dealt = at[rows], b.column(2).to_numpy(zero_copy_only=False)[rows], b.column(3).to_numpy()[rows]
+            target = dealt % np.where(primary, parts[at], blocks[at])
+            recs = b.column(0).dictionary_encode()
+            codes, keys, w = recs.indices.to_numpy()[rows], b.column(4).to_numpy()[rows], b.column(5).to_numpy()[rows]
+            order = np.lexsort((codes, target, primary, at))
+            at, primary, target, codes, keys, w = (x[order] for x in (at, primary, target, codes, keys, w))
+            begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (primary[1:] != primary[:-1]) | (target[1:] != target[:-1])]))
+            out: list[tuple] = []
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(at)]):
+                c, own = at[lo], target[lo]
+                cells = first[c] + (own * blocks[c] + np.arange(blocks[c]) if primary[lo] else np.arange(parts[c]) * blocks[c] + own)
+                mine, code = np.unique(codes[lo:hi], return_inverse=True)
+                out.append((cells.tolist(), 0 if primary[lo] else 1, names[c], recs.dictionary.take(pa.array(mine)).to_pylist(), code.astype("<i4").tobytes(), keys[lo:hi].astype("<i8").tobytes(), w[lo:hi].astype("<f8").tobytes()))
+            kinds = (pa.list_(pa.int32()), pa.int32(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["cells", "side", "country", "recs", "codes", "keys", "w"])
+
+    return run
+
+
+def _joined(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids in order, code, key, weight) of packed rows: codes go by the order of the ids, which decides between equal scores."""
+    each = [np.array(r[0], dtype=object) for r in rows]
+    names, code = np.unique(np.concatenate(each), return_inverse=True)
+    begin = np.cumsum([0, *[len(x) for x in each[:-1]]])
+    codes = np.concatenate([code[lo + np.frombuffer(r[1], "<i4")] for lo, r in zip(begin, rows)])
+    return names, codes, np.concatenate([np.frombuffer(r[2], "<i8") for r in rows]), np.concatenate([np.frombuffer(r[3], "<f8") for r in rows])
+
+
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Places that hold the ``k`` greatest of ``score``, rounded; more where others come near, none of those without a score."""
+    whole = len(score) // STRIDE
+    bound = -1.0
+    if whole >= k:
+        # Each maximum stands for another place, so at least k places reach the k-th of them.
+        most = score[: whole * STRIDE].reshape(whole, STRIDE).max(axis=1)
+        bound = np.partition(most, whole - k)[whole - k] - 1e-8
+    return np.flatnonzero(score >= bound) if bound > 0 else np.flatnonzero(score > 0)
+
+
+def _cell_topk(primary: list[tuple], queries: list[tuple], k: int) -> Iterator[tuple[str, list[str], np.ndarray]]:
+    """(query id, primary ids, scores) of the top ``k`` of each query record of a cell, best first."""
+    names, s_code, keys, sw = _joined(primary)
+    order = np.argsort(keys, kind="stable")
+    keys, s_code, sw = keys[order], s_code[order].astype(np.int64), sw[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ids, stop = keys[start], np.append(start[1:], len(keys))
+    q_names, q_code, wanted, qw = _joined(queries)
+    at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+    met = np.flatnonzero(ids[at] == wanted)
+    met = met[np.argsort(q_code[met], kind="stable")]
+    q_code, at, qw = q_code[met], at[met], qw[met]
+    begin = np.flatnonzero(np.concatenate([[True], q_code[1:] != q_code[:-1]])) if len(q_code) else np.zeros(0, np.int64)
+    lo_of, n_of = start[at], (stop - start)[at]
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(q_code)]):
+        lists = [slice(x, x + n) for x, n in zip(lo_of[a:b].tolist(), n_of[a:b].tolist())]
+        own = np.concatenate([s_code[x] for x in lists])
+        product = np.concatenate([sw[x] for x in lists])
+        product *= np.repeat(qw[a:b], n_of[a:b])
+        if 4 * len(own) < len(names):
+            place, own = np.unique(own, return_inverse=True)
+            score = np.bincount(own, product)
+            found = _best(score, k)
+            place, score = place[found], score[found]
+        else:
+            score = np.bincount(own, product, len(names))
+            place = _best(score, k)
+            score = score[place]
+        score = np.round(score, 9)
+        top = np.lexsort((place, -score))[:k]
+        yield q_names[q_code[a]], names[place[top]].tolist(), score[top]
+
+
+def _solve(k: int):
+    """A function for ``mapInArrow``: the top ``k`` of the query records of each cell, from its packed rows, which come together."""
+
+    def flush(held: dict[int, list[tuple]], country: str) -> Iterator[pa.RecordBatch]:
+        if not (held[0] and held[1]):
+            return
+        out: list[tuple] = []
+        for n, found in enumerate(_cell_topk(held[0], held[1], k), 1):
+            out.append(found)
+            if n % 5_000 == 0:
+                yield table(out, country)
+                out = []
+        if out:
+            yield table(out, country)
+
+    def table(out: list[tuple], country: str) -> pa.RecordBatch:
+        n = [len(s) for _, s, _ in out]
+        q = pa.array([q for (q, _, _), m in zip(out, n) for _ in range(m)], pa.string())
+        ids = pa.array([x for _, s, _ in out for x in s], pa.string())
+        rank = pa.array(np.concatenate([np.arange(m) for m in n]), pa.int32())
+        return pa.RecordBatch.from_arrays([q, ids, pa.array([country] * len(q), pa.string()), pa.array(np.concatenate([x for _, _, x in out]), pa.float64()), rank], ["q_id", "s1_id", "country", "bscore", "brank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, of, held = None, "", {0: [], 1: []}
+        for b in batches:
+            cells, side, country, recs = (b.column(c) for c in range(4))
+            for r in range(b.num_rows):
+                if cells[r].as_py() != cell:
+                    yield from flush(held, of)
+                    cell, of, held = cells[r].as_py(), country[r].as_py(), {0: [], 1: []}
+                held[side[r].as_py()].append((recs[r].as_py(), *[b.column(c)[r].as_py() for c in (4, 5, 6)]))
+        yield from flush(held, of)
+
+    return run
 
 
 def topk(weighted: DataFrame, k: int = K.TOP_K, weights: dict[str, float] = K.WEIGHTS) -> DataFrame:
     """``q_id, s1_id, country, bscore, brank``: the ``k`` primary records of the greatest weighted overlap. ``weighted`` should be stored.
 
-    Query records are dealt in blocks. A key's postings travel once to each block that has the key, not once to each query record, and products
-    are made and added up in the block, so the many products of frequent keys are never shuffled. Only the best ``k`` leave it. Keys above the
-    frequency bound left the product before it.
+    A country's primary records are dealt in parts, its query records in blocks, and each part meets each block in one task, a cell. Only features
+    travel, packed as numbers, a primary record's once to each block and a query record's once to each part; products are made and added up in the cell, and only
+    the best ``k`` leave it. A part and a block hold as much as a task's memory lets them, so there are few copies. Keys above the frequency bound left the product before.
     """
     ns_weight = F.create_map(*[x for ns, w in weights.items() for x in (F.lit(ns), F.lit(w))])
-    used = weighted.where(F.col("in_product") & F.col("ns").isin(*[ns for ns, w in weights.items() if w > 0])).withColumn("id", F.xxhash64("country", "ns", "key"))
-    # The number decides on blocks alone, so an estimate is enough.
-    blocks = max(1, -(-(used.where("src > 1").agg(F.approx_count_distinct("rec_id")).first()[0] or 0) // BLOCK))
-    q = used.where("src > 1").select(F.pmod(F.xxhash64("rec_id"), F.lit(blocks)).cast("int").alias("block"), F.col("rec_id").alias("q_id"), "country", "id", (ns_weight[F.col("ns")] * F.col("w")).alias("qw"))
-    s = used.where("src = 1").select(F.col("id").alias("key"), F.col("rec_id").alias("s1_id"), F.col("w").alias("sw"))
-    needed = q.select(F.col("block").alias("for_block"), F.col("id").alias("key")).distinct()
-    shipped = needed.join(s, "key").select(F.col("for_block").alias("to_block"), F.col("key").alias("to_key"), "s1_id", "sw")
-
-    def run(queries: pa.Table, postings: pa.Table) -> pa.Table:
-        return _block_topk(queries, postings, k)
-
-    return q.groupBy("block").cogroup(shipped.groupBy("to_block")).applyInArrow(run, "q_id string, s1_id string, country string, bscore double, brank int")
+    used = weighted.where(F.col("in_product") & F.col("ns").isin(*[ns for ns, w in weights.items() if w > 0]))
+    grid, parts = _grid(used)
+    primary = F.col("src") == 1
+    w = F.when(primary, F.col("w")).otherwise(ns_weight[F.col("ns")] * F.col("w"))
+    rows = used.select("rec_id", "country", primary.alias("primary"), F.xxhash64("rec_id").alias("dealt"), F.xxhash64("country", "ns", "key").alias("id"), w.alias("w"))
+    packed = rows.mapInArrow(_spread(grid), "cells array<int>, side int, country string, recs array<string>, codes binary, keys binary, w binary")
+    dealt = packed.select(F.explode("cells").alias("cell"), "side", "country", "recs", "codes", "keys", "w").repartition("cell").sortWithinPartitions("cell")
+    out = dealt.mapInArrow(_solve(k), "q_id string, s1_id string, country string, bscore double, brank int")
+    if parts < 2:
+        return out
+    rank = F.row_number().over(Window.partitionBy("q_id", "country").orderBy(F.desc("bscore"), "s1_id")) - 1
+    return out.withColumn("brank", rank.cast("int")).where(F.col("brank") < k)
 
 
 def context(top: DataFrame) -> DataFrame:

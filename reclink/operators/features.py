@@ -55,6 +55,8 @@ def weights(feats: DataFrame, stats: DataFrame, unseen_idf: DataFrame | None = N
     if unseen_idf:
         known = known.join(unseen_idf, "country").withColumns({"idf": F.coalesce("idf", "most"), "in_product": F.coalesce("in_product", F.lit(False))}).drop("most")
     norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy("rec_id", "ns")))
+    # A record's rows stay together, so that they are stored, and packed later, with its id once.
+    known = known.repartition("rec_id")
     return known.withColumn("w", F.col("idf") / norm).drop("idf")
 
 
