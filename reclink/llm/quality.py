@@ -9,26 +9,28 @@ labelled documents of the other one. A ratio's target is smoothed towards the sh
 labelled document has counts nothing. The toxic ratio has more buckets, as few words tell, and is strong where
 n-grams occur in toxic documents far more often than their share of trusted ones lets expect. The cut of each ratio comes from the labelled documents' own scores.
 
-One scan counts (what leaves a task is one row a bucket at most), two read the labelled documents, a last one scores all; the text is never shuffled. Words
-are hashed once; n-grams are hashes of their words' hashes. The log ratios travel inside the plan, whatever the input.
+Every labelled document counts, for the ratios as for the cuts. One scan counts all documents (what leaves a task is one row a bucket at most), one stores the labelled ones, which are
+read three times, a last one scores all. The text is shuffled only where labels are too many to be broadcast. Words are hashed once; n-grams are hashes of their words' hashes. The log ratios travel inside the plan, whatever the input.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from bisect import bisect_left
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reclink.llm.common import materialize
+
 #: Buckets of the hashed n-grams (words and pairs of words), and the fixed-point scale of the log ratios.
 BUCKETS, SCALE = 10_000, 1 << 20
-#: Trusted documents that the target is fitted on, at most: the first by a hash of the id. Bounds what is broadcast.
-TRUSTED = 20_000
-#: N-grams that the smoothing adds to a target, labelled documents of a class that a cut is derived from (at most), and the
-#: share of trusted documents that a cut may lose, out of sample.
-SMOOTHING, JUDGED, LOSS = 10_000, 5_000, 0.01
+#: Labelled documents (about 50 bytes each) that a broadcast joins to their texts; more are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
+#: N-grams that the smoothing adds to a target, and the share of trusted documents that a cut may lose, out of sample.
+SMOOTHING, LOSS = 10_000, 0.01
 #: Buckets of the toxic ratio, occurrences added to the seen and the expected ones, and the least log ratio that counts.
 TOXIC_BUCKETS, TOXIC_PRIOR, TOXIC_LEAST = 1 << 18, 0.5, 2.0
 
@@ -65,40 +67,42 @@ def half(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("half"), doc_id), F.lit(2)).cast("int")
 
 
-def target(labels: DataFrame, bound: int = TRUSTED, id_column: str = "doc_id", which: str = "quality = 1 AND coalesce(toxic, 0) = 0") -> DataFrame:
-    """Ids of trusted documents: good and not toxic (or what ``which`` says); at most ``bound``, the first by a hash of the id."""
-    good = labels.where(which).select(F.col(id_column).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+def known(labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``doc_id, good, bad, toxic`` (1 or null) of every labelled document: good are trusted ones, which are not toxic."""
+    of = {"good": "quality = 1 AND coalesce(toxic, 0) = 0", "bad": "quality = 0", "toxic": "toxic = 1"}
+    each = labels.where("quality IN (0, 1) OR toxic = 1").select(F.col(id_column).alias("doc_id"), *[F.when(F.expr(which), 1).alias(c) for c, which in of.items()])
+    return each.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in of])
 
 
-def known(labels: DataFrame, bound: int) -> DataFrame:
-    """``doc_id, good, bad, toxic`` (1 or null) of at most ``bound`` documents of each class."""
-    of = {"good": "quality = 1 AND coalesce(toxic, 0) = 0", "bad": "quality = 0", "toxic": "toxic = 1"}
-    found = [target(labels, bound, which=which).select("doc_id", *[F.lit(1 if c == kind else None).cast("int").alias(c) for c in of]) for kind, which in of.items()]
-    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in of])
+def labelled_texts(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, text, good, bad, toxic`` of the documents that have a label, stored."""
+    found = materialize(known(labels))
+    return materialize(texts.join(F.broadcast(found) if found.count() <= BROADCAST_LABELS else found, "doc_id"))
 
 
-def counted(docs: DataFrame, labelled: DataFrame, buckets: int, how: str) -> DataFrame:
-    """``bucket, n, good0, good1, toxic0, toxic1``: n-grams by bucket, of all documents and of the labelled ones of each half."""
-    u = docs.select("doc_id", hashes(words(F.coalesce("text", F.lit("")))).alias("u")).join(F.broadcast(labelled), "doc_id", how)
-    of = {f"{c}{k}": F.when(half(F.col("doc_id")) == k, F.col(c)) for c in ("good", "toxic") for k in (0, 1)}
-    each = u.select(*[c.alias(name) for name, c in of.items()], F.explode(grams(F.col("u"))).alias("h"))
+def counted(docs: DataFrame, buckets: int, of: dict[str, Column]) -> DataFrame:
+    """``bucket, n`` and a count for each column ``of``, which is null in what it does not count: n-grams by bucket."""
+    u = docs.select(*[c.alias(name) for name, c in of.items()], hashes(words(F.coalesce("text", F.lit("")))).alias("u"))
+    each = u.select(*of, F.explode(grams(F.col("u"))).alias("h"))
     return each.groupBy(bucket(F.col("h"), buckets).alias("bucket")).agg(F.count("*").alias("n"), *[F.count(name).alias(name) for name in of])
 
 
-def log_ratios(docs: DataFrame, labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[tuple[list[int], list[int]]], bool]:
-    """For each half the scaled log ratios by bucket, trusted against all, and the buckets whose log ratio of toxic against trusted is strong; and whether any trusted document was found.
+def log_ratios(docs: DataFrame, own: DataFrame, buckets: int = BUCKETS) -> tuple[list[tuple[list[int], list[int]]], bool]:
+    """For each half the scaled log ratios by bucket, trusted against all, and the buckets whose log ratio of toxic against trusted is strong; and whether any trusted document was found. ``own``: the labelled ones.
 
     They come from the other half's labels. To the trusted counts of the first, ``SMOOTHING`` n-grams are added in proportion to all documents.
     """
     n = {c: [0] * buckets for c in ("n", "good0", "good1", "toxic0", "toxic1")}
-    for r in counted(docs, labelled, buckets, "left").collect():
-        for c in n:
+    of = {f"{c}{k}": F.when(half(F.col("doc_id")) == k, F.col(c)) for c in ("good", "toxic") for k in (0, 1)}
+    for r in counted(docs, buckets, {}).collect():
+        n["n"][r["bucket"]] = r["n"]
+    for r in counted(own, buckets, of).collect():
+        for c in of:
             n[c][r["bucket"]] = r[c]
     every, total = max(sum(n["n"]), 1), {c: sum(v) for c, v in n.items()}
     # Fewer occurrences than these never count, so few rows leave this.
     seen = math.ceil(math.exp(TOXIC_LEAST) * TOXIC_PRIOR - TOXIC_PRIOR)
-    strong = counted(docs, labelled, TOXIC_BUCKETS, "inner").where((F.col("toxic0") >= seen) | (F.col("toxic1") >= seen)).collect() if total["toxic0"] + total["toxic1"] else []
+    strong = counted(own, TOXIC_BUCKETS, of).where((F.col("toxic0") >= seen) | (F.col("toxic1") >= seen)).collect() if total["toxic0"] + total["toxic1"] else []
     scaled = lambda x: round(SCALE * x)
     out = []
     for other in ("1", "0"):
@@ -109,19 +113,19 @@ def log_ratios(docs: DataFrame, labelled: DataFrame, buckets: int = BUCKETS) ->
     return out, total["good0"] + total["good1"] > 0
 
 
-def cut_between(keep: list[float], drop: list[float], loss: float = LOSS) -> float:
+def cut_between(keep: Sequence[float], drop: Sequence[float], loss: float = LOSS) -> float:
     """The cut at which most of ``drop`` and fewest of ``keep`` lie below; at most a share ``loss`` of ``keep`` does. Minus infinity if no cut helps."""
-    keep, drop = sorted(keep), sorted(drop)
-    if not keep or not drop:
+    keep, drop = np.sort(np.asarray(keep, dtype=float)), np.sort(np.asarray(drop, dtype=float))
+    if not len(keep) or not len(drop):
+        return -math.inf
+    least = keep[: int(loss * len(keep)) + 1]
+    below = np.searchsorted(drop, least)
+    won = np.where(below > 0, below / len(drop) - np.searchsorted(keep, least) / len(keep), 0.0)
+    k = int(np.argmax(won))
+    if won[k] <= 0:
         return -math.inf
-    best, gain = -math.inf, 0.0
-    for k in range(int(loss * len(keep)) + 1):
-        below = bisect_left(drop, keep[k])
-        won = below / len(drop) - bisect_left(keep, keep[k]) / len(keep)
-        if below and won > gain:
-            # Halfway to the next lower score.
-            best, gain = (keep[k] + max(drop[below - 1], keep[k - 1] if k and keep[k - 1] < keep[k] else -math.inf)) / 2, won
-    return best
+    # Halfway to the next lower score.
+    return float((keep[k] + max(drop[below[k] - 1], keep[k - 1] if k and keep[k - 1] < keep[k] else -math.inf)) / 2)
 
 
 def repeated_words(cut: DataFrame) -> DataFrame:
@@ -175,7 +179,7 @@ def scored(named: DataFrame, ratios: list[tuple[list[int], list[int]]], more: li
     return cut.withColumn("base_failed", failed)
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = -math.inf, trusted: int = TRUSTED, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = -math.inf, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``id_column, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, toxicity, kept`` and the columns in ``keep``, for every row.
 
     ``base_failed``: under 50 words, or over half of the words in repeated runs of three. ``kept`` is false for those, else whether the document passes
@@ -186,18 +190,19 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = -math.inf, tr
     """
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.struct(*(keep or [F.lit(None).alias("none")])).alias("others"))
     texts = named.select("doc_id", "text")
-    ratios, any_trusted = log_ratios(texts, known(labels, trusted))
+    own = labelled_texts(texts, labels)
+    ratios, any_trusted = log_ratios(texts, own)
     passed = F.lit(True)
     if any_trusted:
-        own = texts.join(F.broadcast(known(labels, min(trusted, JUDGED))), "doc_id")
-        judged = scored(own, ratios, [F.col(c) for c in ("good", "bad", "toxic")]).select("good", "bad", "toxic", "base_failed", "score", "toxicity").collect()
+        # Three flags and two numbers a labelled document, as columns of numbers.
+        judged = scored(own, ratios, [F.col(c).isNotNull().alias(c) for c in ("good", "bad", "toxic")]).select("good", "bad", "toxic", "base_failed", "score", "toxicity").toArrow()
+        col = {c: judged.column(c).to_numpy() for c in judged.column_names}
         # Not in the plan: the optimiser would push the filter down and work the word arrays out again for every word.
-        judged = [r for r in judged if not r["base_failed"]]
-        good = [r for r in judged if r["good"]]
-        bad = [r["score"] for r in judged if r["bad"]]
-        least = cut_between([r["score"] for r in good], bad)
-        most = -cut_between([-r["toxicity"] for r in good], [-r["toxicity"] for r in judged if r["toxic"]])
-        passed = (F.col("score") >= (least if bad else threshold)) & (F.col("toxicity") <= most)
+        of = lambda c, kind: col[c][col[kind] & ~col["base_failed"]]
+        bad = of("score", "bad")
+        least = cut_between(of("score", "good"), bad)
+        most = -cut_between(-of("toxicity", "good"), -of("toxicity", "toxic"))
+        passed = (F.col("score") >= (least if len(bad) else threshold)) & (F.col("toxicity") <= most)
     out = scored(named, ratios, [F.col("others")]).withColumn("kept", ~F.col("base_failed") & passed)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "toxicity", "kept"]
     return out.select(F.col("doc_id").alias(id_column), *names, *[F.col(f"others.{c}").alias(c) for c in keep or []])

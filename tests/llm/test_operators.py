@@ -153,6 +153,23 @@ def test_quality_toxic(spark):
     assert quality.cut_between([1.0], []) == quality.cut_between([1.0], [2.0]) == -np.inf
 
 
+def test_quality_uses_every_label(spark, monkeypatch):
+    """The ratios rest on all labelled documents, however many, and a shuffle joins them as a broadcast does."""
+    n = 30_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('common w', id % 7, ' u', id) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "cast(1 AS long) AS quality", "cast(0 AS long) AS toxic")
+    ratios = []
+    for bound in (quality.BROADCAST_LABELS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_LABELS", bound)
+        own = quality.labelled_texts(docs, labels)
+        assert own.count() == n and own.where("good = 1 AND bad IS NULL AND toxic IS NULL").count() == n
+        ratios.append(quality.log_ratios(docs, own))
+    assert ratios[0] == ratios[1]
+    # Five n-grams a document, of both halves: with every document trusted the counts of the halves add up to those of all.
+    of = {f"good{k}": F.when(quality.half(F.col("doc_id")) == k, F.col("good")) for k in (0, 1)}
+    assert quality.counted(own, 100, of).selectExpr("sum(n) AS n", "sum(good0 + good1) AS g").first() == (5 * n, 5 * n)
+
+
 def brute_sentences(rows, run=3):
     """(id, sentences, removed, kept) for every row; equal rows are one, rows of one id go by a hash of the text."""
     mark = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64) * (h >> 63)
