@@ -9,6 +9,8 @@
 * A ball that no vantage point can part is dealt into blocks, and each two blocks meet in a shard of their own.
 * Inside a shard the same rule goes on down to small sets. A shard gives a spanning forest of its links,
   never all pairs.
+
+The wider search for similar texts (``near_duplicates``, ``first_of_each``) goes by the same trees, after a first vantage point for sizes.
 """
 
 from __future__ import annotations
@@ -67,26 +69,29 @@ def distance(points: np.ndarray, vantage) -> np.ndarray:
     return np.bitwise_count(points ^ np.uint64(vantage))
 
 
-def branch(points: np.ndarray, radius: int, tries: int, rng: np.random.Generator) -> tuple[int, int] | None:
-    """The vantage point and ``mu`` with the smallest two sides, if both sides are clearly smaller than the set."""
-    best, n = None, len(points)
+def branch(points: np.ndarray, radius: int, tries: int, rng: np.random.Generator, wide: bool = False) -> tuple[int, int] | None:
+    """The vantage point and ``mu`` with the smallest two sides, if both sides are clearly smaller than the set.
+
+    ``wide``: the sides together must also have fewer pairs than the set, as at a wide radius many points go to both.
+    """
+    best, n, power = None, len(points), 2 if wide else 1.6
     for v in points[rng.integers(0, n, tries)]:
         below = np.cumsum(np.bincount(distance(points, v), minlength=65 + radius))[: 65 + radius]
         inner, outer = below[radius:], n - below[: len(below) - radius]
-        cost = inner.astype(float) ** 1.6 + outer.astype(float) ** 1.6
+        cost = inner.astype(float) ** power + outer.astype(float) ** power
         mu = int(np.argmin(cost))
-        if max(inner[mu], outer[mu]) <= 0.87 * n and (best is None or cost[mu] < best[0]):
+        if max(inner[mu], outer[mu]) <= 0.87 * n and (best is None or cost[mu] < best[0]) and not (wide and cost[mu] > 0.9 * n**2):
             best = (cost[mu], int(v), mu)
     return best and best[1:]
 
 
-def fit_tree(sample: np.ndarray, radius: int, leaf: float, seed: int = 7) -> list[tuple]:
+def fit_tree(sample: np.ndarray, radius: int, leaf: float, seed: int = 7, wide: bool = False) -> list[tuple]:
     """Nodes of the top tree: ("split", vantage, mu, inner, outer) or ("leaf", first shard, blocks); ``leaf`` sample points fill a shard."""
     rng, nodes, shards = np.random.default_rng(seed), [()], 0
     todo = [(0, np.unique(sample))]
     while todo:
         at, points = todo.pop()
-        found = branch(points, radius, 24, rng) if len(points) > leaf else None
+        found = branch(points, radius, 24, rng, wide) if len(points) > leaf else None
         if found:
             d = distance(points, found[0])
             nodes[at] = ("split", *found, len(nodes), len(nodes) + 1)
@@ -184,13 +189,12 @@ def near_copies(docs: DataFrame, width: int = 3, radius: int = 3, id_column: str
     return known.select(F.col("doc_id").alias(id_column), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("component.id").alias("component_id"))
 
 
-#: Sketch of the wider search: bins of one byte, and bands of ``ROWS`` minima each.
-BINS, BANDS, ROWS = 256, 14, 4
-#: Points of one band key that are compared in one task; more are dealt into blocks.
-BLOCK_POINTS = 3_000
+#: Bins of one byte in a sketch of the wider search, and those of them that are looked at first.
+BINS, FIRST_BINS = 256, 64
+#: Points that meet in one shard of the wider search, and the share of all points from which on a small table is dealt, too.
+BLOCK_POINTS, BLOCK_SHARE = 200_000, 1 / 6
 #: Points and shingle hashes of one group of candidates that are compared exactly in one block.
 EXACT_POINTS, EXACT_HASHES = 1_000, 1_000_000
-_SEEDS = np.random.default_rng(20_240_602).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -210,11 +214,11 @@ def set_hash(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), 7)
 
 
-def sketch(text: str, width: int) -> tuple[int, int, bytes, list[int], int]:
-    """(hash of the set of ``width``-word shingles, SimHash of that set, byte sketch, band keys, size of the set).
+def sketch(text: str, width: int) -> tuple[int, int, bytes, int]:
+    """(hash of the set of ``width``-word shingles, SimHash of that set, byte sketch, size of the set).
 
     The sketch holds, for each bin of the shingle hashes, one byte of the least hash in it (0: none), so the share of equal bytes
-    among bins that either text fills estimates the sets' similarity. A band key joins ``ROWS`` minima under different hash functions.
+    among bins that either text fills estimates the sets' similarity.
     """
     h = shingles(text, width)
     ones = sum(np.unpackbits(h[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for lo in range(0, len(h), 65536))
@@ -224,12 +228,7 @@ def sketch(text: str, width: int) -> tuple[int, int, bytes, list[int], int]:
     order = np.lexsort((h, by_bin))
     first = order[np.concatenate([[True], np.diff(by_bin[order]) > 0])]
     bins[by_bin[first]] = ((h[first] >> np.uint64(8)) % np.uint64(255)).astype(np.uint8) + 1
-    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for lo in range(0, len(h), 4096):
-            least = np.minimum(least, (((h[lo : lo + 4096, None] ^ _SEEDS[0]) * _SEEDS[1]) ^ (h[lo : lo + 4096, None] >> np.uint64(29))).min(axis=0))
-    bands = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return set_hash(h), fp, bins.tobytes(), bands, len(h)
+    return set_hash(h), fp, bins.tobytes(), len(h)
 
 
 def similarity(bins: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -238,24 +237,92 @@ def similarity(bins: np.ndarray, others: np.ndarray) -> np.ndarray:
     return same / np.maximum(((others > 0) | (bins > 0)).sum(axis=1), 1)
 
 
-def similar_forest(fps: np.ndarray, bins: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
-    """Edges (indices) that span the links among points of one bucket: near fingerprints, then near sketches."""
-    edges, left = [], np.arange(len(fps))
-    while len(left) > 1:
-        root, left = left[0], left[1:]
-        queue = [root]
-        while queue and len(left):
-            at = queue.pop()
-            near = np.flatnonzero(distance(fps[left], fps[at]) <= radius)
-            near = near[similarity(bins[at], bins[left[near]]) >= least]
-            if len(near):
-                new = left[near]
-                edges += [(root, k) for k in new.tolist()]
-                queue += new.tolist()
-                left = np.delete(left, near)
+def similar_forest(fps: np.ndarray, bins: np.ndarray, sizes: np.ndarray, radius: int, least: float, ratio: float) -> list[tuple[int, int]]:
+    """Edges (indices) that span the links among points of one shard: sizes within ``ratio``, near fingerprints, then near sketches.
+
+    Trees go on inside the shard, down to sets that no vantage point parts.
+    """
+    rng, edges, todo = np.random.default_rng(11), [], [np.argsort(sizes, kind="stable")]
+    # Of two sketches that agree in ``least`` of 256 bins, far more than an eighth of that agree among the first 64.
+    some = max(1, int(FIRST_BINS * least / 8))
+    while todo:
+        own = todo.pop()
+        found = branch(fps[own], radius, 6, rng, wide=True) if len(own) > SMALL else None
+        if found:
+            d = distance(fps[own], found[0])
+            todo += [own[d <= found[1] + radius], own[d > found[1]]]
+            continue
+        fp, size, alive = fps[own], sizes[own], np.ones(len(own), dtype=bool)
+        # Where the partners of each point begin and end; a little wider than the ratio, as the whole sets decide later.
+        begin, end = np.searchsorted(size, size * ratio * (1 - 1e-9)), np.searchsorted(size, size / ratio * (1 + 1e-9), side="right")
+        for root in range(len(own)):
+            if not alive[root]:
+                continue
+            alive[root] = False
+            queue = [root]
+            while queue:
+                at = queue.pop()
+                # All up to the root are settled.
+                lo, hi = max(begin[at], root + 1), end[at]
+                near = np.flatnonzero(distance(fp[lo:hi], fp[at]) <= radius) + lo
+                near = near[alive[near]]
+                if not len(near):
+                    continue
+                mine, rows = bins[own[at]], own[near]
+                # Few filled bins hold too little for a first look, as empty ones are equal, too: they pass it.
+                near = near[(bins[rows, :FIRST_BINS] == mine[:FIRST_BINS]).sum(axis=1) >= some]
+                near = near[similarity(mine, bins[own[near]]) >= least] if len(near) else near
+                if len(near):
+                    alive[near] = False
+                    edges += [(int(own[root]), k) for k in own[near].tolist()]
+                    queue += near.tolist()
     return edges
 
 
+def size_class(sizes: np.ndarray, least: float) -> np.ndarray:
+    """Classes of set sizes: two sets of a similarity of ``least`` lie in one class or in neighbouring ones."""
+    return np.floor(np.log(sizes) / np.log(1 / least + 1e-9)).astype(np.int64)
+
+
+def candidates(points: DataFrame, radius: int, least: float, margin: float) -> DataFrame:
+    """Edges ``a, b`` that span all pairs of a stored table ``point, fp, bins, n_shingles`` that may reach ``least``.
+
+    The first vantage point is the empty set, the distance to which is a set's size: sets that share ``least`` lie in one class of sizes
+    or in neighbouring ones, so a class meets the one below it. From there on vantage points are fingerprints of a bounded sample, with boundary points
+    on both sides; what they cannot part is dealt into blocks, of which each two meet in a shard. So every pair within ``radius`` meets.
+    """
+    n = points.count()
+    drawn = points.select("fp", "n_shingles")
+    drawn = (drawn.orderBy(F.xxhash64("fp"), "fp", "n_shingles").limit(SAMPLE) if n > SAMPLE else drawn).collect()
+    fps = np.array([r["fp"] for r in drawn], dtype=np.int64).view(np.uint64)
+    classes = size_class(np.array([r["n_shingles"] for r in drawn], dtype=np.float64), least)
+    leaf = min(BLOCK_POINTS, max(SMALL, n * BLOCK_SHARE)) * len(drawn) / max(n, 1)
+    trees = {c: fit_tree(fps[(classes == c) | (classes == c - 1)], radius, leaf, wide=True) for c in {int(c) + k for c in np.unique(classes) for k in (0, 1)}}
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            own, of = b.column(1).to_numpy().view(np.uint64), size_class(b.column(3).to_numpy().astype(np.float64), least)
+            for c in np.unique(np.concatenate([of, of + 1])).tolist():
+                mine = np.flatnonzero((of == c) | (of == c - 1))
+                index, shard = route(own[mine], trees.get(c, [("leaf", 0, 1)]), radius)
+                rows = pa.array(mine[index])
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(c) << np.int64(32)) + shard, pa.int64()), *[x.take(rows) for x in b.columns]], ["shard", "point", "fp", "bins", "n_shingles"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, point, fp, bins, size in runs(batches, 4096):
+            shard, point, fp, size = shard.to_numpy(), point.to_numpy(), fp.to_numpy().view(np.uint64), size.to_numpy()
+            rows = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
+            begin = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            edges: list[tuple[int, int]] = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)]):
+                edges += [(a + i, a + j) for i, j in similar_forest(fp[a:b], rows[a:b], size[a:b], radius, least - margin, least)] if b - a > 1 else []
+            pairs = point[np.array(edges, dtype=np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+    dealt = points.select("point", "fp", "bins", "n_shingles").mapInArrow(tidied(spread), "shard long, point long, fp long, bins binary, n_shingles long")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(tidied(link), "a long, b long")
+
+
 def exact_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Edges (indices) that span the links among sets of hashes: those whose similarity, counted in full, is ``least`` or more."""
     sizes = np.array([len(h) for h in sets])
@@ -292,36 +359,15 @@ def _members(docs: DataFrame, width: int, least: float, radius: int, margin: flo
         for b in slices(batches):
             made = [sketch(t, width) for t in b.column(2).to_pylist()]
             signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(made) + 1, BANDS), pa.int32()), pa.array(signed([k for m in made for k in m[3]]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(signed([m[0] for m in made])), pa.array(signed([m[1] for m in made])), pa.array([m[2] for m in made], pa.binary()), bands, pa.array([m[4] for m in made], pa.int64())], ["doc_id", "mark", "point", "fp", "bins", "bands", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(signed([m[0] for m in made])), pa.array(signed([m[1] for m in made])), pa.array([m[2] for m in made], pa.binary()), pa.array([m[3] for m in made], pa.int64())], ["doc_id", "mark", "point", "fp", "bins", "n_shingles"])
 
     text = F.coalesce(F.col(text_column), F.lit(""))
     named = docs.select(F.col(id_column).alias("doc_id"), F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
-    found = materialize(named.mapInArrow(tidied(run), f"doc_id {kind}, mark binary, point long, fp long, bins binary, bands array<long>, n_shingles long"))
+    found = materialize(named.mapInArrow(tidied(run), f"doc_id {kind}, mark binary, point long, fp long, bins binary, n_shingles long"))
     # Rows without an id come last.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first")
-    points = materialize(found.groupBy("point").agg(first, F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
-    keys = points.select("point", F.explode("bands").alias("band"))
-    blocks = F.ceil(F.count("*") / BLOCK_POINTS).cast("int")
-    shared = materialize(keys.groupBy("band").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1"))
-    met = join_hot(keys.withColumn("key", F.col("band")), shared, ["band"], "blocks", "n").withColumn("own", F.pmod(F.xxhash64("point"), "blocks").cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "point")
-    dealt = met.join(points.select("point", "fp", "bins"), "point").select("shard", "point", "fp", "bins")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, point, fp, bins in runs(batches, 4096):
-            shard, point, fp = shard.to_numpy(), point.to_numpy(), fp.to_numpy().view(np.uint64)
-            rows = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
-            begin = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            edges: list[tuple[int, int]] = []
-            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)]):
-                edges += [(a + i, a + j) for i, j in similar_forest(fp[a:b], rows[a:b], radius, least - margin)] if b - a > 1 else []
-            pairs = point[np.array(edges, dtype=np.int64).reshape(-1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
-
-    edges = dealt.repartition("shard").sortWithinPartitions("shard", "point").mapInArrow(tidied(link), "a long, b long")
-    groups = materialize(components(edges).withColumnRenamed("node", "point").join(points.select("point", "first", "n_shingles"), "point"))
+    points = materialize(found.groupBy("point").agg(first, F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n_shingles")))
+    groups = materialize(components(candidates(points, radius, least, margin)).withColumnRenamed("node", "point").join(points.select("point", "first", "n_shingles"), "point"))
     blocks = F.greatest(F.ceil(F.count("*") / EXACT_POINTS), F.ceil(F.sum("n_shingles") / EXACT_HASHES)).cast("int")
     sizes = materialize(groups.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("size")))
     wanted = join_hot(groups.select("root", F.col("root").alias("group"), "point", "first.*"), sizes, ["root"], "blocks", "size")
@@ -361,9 +407,8 @@ def _members(docs: DataFrame, width: int, least: float, radius: int, margin: flo
 def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 22, margin: float = 0.15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column, component_id`` for every row: groups of texts whose shingle sets have a similarity of ``least`` or more.
 
-    At a similarity of 0.8 fingerprints differ in some ten bits (up to 20), and trees over 64 bits cannot part points within such a
-    radius. So fingerprints meet by band keys first (of pairs at 0.8 one in 1800 shares none), and are candidates if they
-    lie within ``radius`` and their sketches agree in ``least - margin`` of the bins. Sketches only find candidates: all points of a group that
+    At a similarity of 0.8 fingerprints differ in some ten bits (up to 20). Pairs within ``radius`` are found by vantage-point trees that lose none
+    (``candidates``), and are candidates if their sketches agree in ``least - margin`` of the bins. Sketches only find candidates: all points of a group that
     candidates connect are then compared by their whole shingle sets, worked out again from the texts, in blocks where a group is large. Equal shingle sets
     are one point, of which the most frequent meet their rows by a broadcast of bounded size.
 

@@ -686,6 +686,24 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs).collect()} == expected
 
 
+def test_trees_lose_no_candidate(spark, monkeypatch):
+    """Pairs far below 0.8, which band keys of four minima would often part, meet in the trees; so they do where sets are dealt into blocks."""
+    r = random.Random(41)
+    texts = {}
+    for pair in range(120):
+        words = [f"w{r.randint(0, 10**9)}" for _ in range(r.choice([104, 204, 404]))]
+        changed, total = list(words), len(words) - 4
+        # 0.54 to 0.57 of the shingles stay.
+        for i in range(int(total * 0.28 / 5)):
+            changed[5 + i * 10] = f"new{r.randint(0, 10**9)}"
+        texts[2 * pair], texts[2 * pair + 1] = " ".join(words), " ".join(changed)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = {k: k - k % 2 for k in texts}
+    for points in (simhash.BLOCK_POINTS, 40):
+        monkeypatch.setattr(simhash, "BLOCK_POINTS", points)
+        assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, least=0.5, radius=32).collect()} == expected
+
+
 def test_near_duplicates_at_the_border(spark):
     """Pairs planted just above and just below a similarity of 0.8 are decided by their whole shingle sets."""
     r = random.Random(12)
