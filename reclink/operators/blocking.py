@@ -14,7 +14,7 @@ from reclink.functions import constants as K
 
 #: Features of primary records, and of query records, that a task holds at most (in about 20 bytes each), and features of query records that
 #: are worth a task; tasks to aim at where the tables are small.
-PART, BLOCK, LEAST_BLOCK, TASKS = 4_000_000, 4_000_000, 50_000, 24
+PART, BLOCK, LEAST_BLOCK, TASKS = 4_000_000, 4_000_000, 50_000, 12
 #: Primary records of which one maximum is taken in the search for the bound of the best.
 STRIDE = 64
 

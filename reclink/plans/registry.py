@@ -55,10 +55,10 @@ class Linked(NamedTuple):
 
 
 def linked(spark: SparkSession, sf: str) -> Linked:
-    recs = materialize(norm(spark, sf).drop("ck"))
+    recs = materialize(normalize(features.dealt(view(spark, sf))).drop("ck"))
     feats = features.features(recs)
     stats = materialize(features.statistics(feats, recs))
-    return Linked(recs, feats, stats, materialize(features.weights(feats, stats)))
+    return Linked(recs, feats, stats, materialize(features.part_weights(recs, stats)))
 
 
 def listed(found: Linked) -> DataFrame:
@@ -143,7 +143,7 @@ def weights_norm(spark, sf):
 @query(f"WITH {O.STATS} SELECT rec_id, ns, round(1 - count(df) / count(*), 6) AS unseen FROM feats LEFT JOIN stats USING (country, ns, key) GROUP BY 1, 2")
 def unseen_fraction(spark, sf):
     found = linked(spark, sf)
-    return features.unseen(found.feats, found.stats).select("rec_id", "ns", r6("unseen"))
+    return features.unseen_left(found.feats, found.weighted).select("rec_id", "ns", r6("unseen"))
 
 
 @query(f"WITH {O.TOP} SELECT q_id, s1_id, country, round(bscore, 6) AS bscore, brank FROM top")
@@ -180,7 +180,7 @@ def pair_cosine(spark, sf):
 SELECT q_id, s1_id, ns, unseen FROM kept JOIN un ON q_id = rec_id""")
 def pair_unseen(spark, sf):
     found = linked(spark, sf)
-    return listed(found).select("q_id", "s1_id").join(features.unseen(found.feats, found.stats).withColumnRenamed("rec_id", "q_id"), "q_id").select("q_id", "s1_id", "ns", r6("unseen"))
+    return listed(found).select("q_id", "s1_id").join(features.unseen_left(found.feats, found.weighted).withColumnRenamed("rec_id", "q_id"), "q_id").select("q_id", "s1_id", "ns", r6("unseen"))
 
 
 _LEGAL = lambda c: f"list_filter(string_split({c}, ' '), lambda x: list_contains({O.listed(K.LEGAL)}, x))"
@@ -513,7 +513,7 @@ def all_features(spark: SparkSession, sf: str) -> DataFrame:
     """Stored pairs with every first-stage feature and the label ``y``."""
     found = linked(spark, sf)
     k = listed(found)
-    profile = materialize(linkage.profiles(found.recs, features.vectors(found.weighted), features.unseen(found.feats, found.stats)))
+    profile = materialize(linkage.profiles(found.recs, features.vectors(found.weighted), features.unseen_left(found.feats, found.weighted)))
     y = truth(spark, sf).select("s1_id", F.col("match_id").alias("q_id"), F.lit(1).alias("y"))
     return materialize(linkage.pair_features(k, profile).join(blocking.s1_context(k), ["q_id", "s1_id"]).join(y, ["q_id", "s1_id"], "left").na.fill(0, ["y"]))
 

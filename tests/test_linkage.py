@@ -232,3 +232,24 @@ def test_blocking_by_parts_and_blocks(found, monkeypatch):
     dealt = blocking.topk(found.weighted.repartition(7)).collect()
     key = lambda r: (r["q_id"], r["brank"], r["s1_id"], r["country"], round(r["bscore"], 9))
     assert len(whole) > 100 and sorted(map(key, dealt)) == sorted(map(key, whole))
+
+
+def test_weights_by_parts(spark, monkeypatch):
+    """Weights by parts, here more than a mask holds, are those of the join by feature, also for nulls and repeated ids, and no feature of a record is shuffled."""
+    monkeypatch.setattr(features, "PER_PART", 2)
+    docs = [(k % 170, f"{'Acme Widgets' if k % 3 else 'Old Mill Tea'} {k % 11} Oak Street north{k % 7} end", "en" if k % 2 else "fr", "web", 40 + k % 5) for k in range(200)]
+    docs += [(301, None, "en", "web", 1), (302, "lonely words here", None, "web", 17), (None, "Acme Widgets 7", "en", "web", 14), (303, "", "fr", None, None)]
+    raw = registry.R.record_view(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"))
+    recs = stages.materialize(registry.normalize(features.dealt(raw)).drop("ck"))
+    assert recs.agg(F.max("part")).first()[0] >= features.BITS
+    feats = features.features(recs)
+    stats = stages.materialize(features.statistics(feats, recs))
+    weighted = features.part_weights(recs, stats)
+    key = lambda r: tuple(str(r[c]) for c in ("rec_id", "src", "country", "ns", "key", "in_product")) + (round(r["norm"], 9), round(r["w"], 9))
+    plain = feats.drop("part")
+    expected = sorted(map(key, features.weights(plain, features.statistics(plain, recs)).collect()))
+    assert len(expected) > 1000 and sorted(map(key, weighted.collect())) == expected
+    plan = weighted._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[2]
+    assert plan.count("Exchange") == 1
+    share = lambda r: (str(r["rec_id"]), r["ns"], r["unseen"])
+    assert sorted(map(share, features.unseen_left(feats, weighted).where("rec_id IS NOT NULL").collect())) == sorted(map(share, features.unseen(plain, stats).where("rec_id IS NOT NULL").collect()))
