@@ -51,13 +51,25 @@ def with_cosines(p: DataFrame) -> DataFrame:
 def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """``q_id, s1_id`` and ``cos_*, ovl_*, q_nnz_*, s_nnz_*, jac_*`` of all namespaces, over all known features, also those too frequent for retrieval.
 
-    Each record's vector travels once to each of its pairs.
+    Only the keys of a query record and its norms travel to each of its pairs: a shared key has the same idf on both sides, so the one side's
+    weight is the other's by the ratio of the norms.
     """
-    q, s = vector_sides()
-    mine = vectors.select(F.col("rec_id").alias("q_id"), *[c.alias(n) for n, c in q.items()])
-    other = vectors.select(F.col("rec_id").alias("s1_id"), *[c.alias(n) for n, c in s.items()])
-    both = pairs.select("q_id", "s1_id").join(mine, "q_id", "left").join(other, "s1_id", "left").na.fill(0, [f"{x}_nnz_{ns}" for x in "qs" for ns in SPACES])
-    return with_cosines(both)
+    sizes = lambda side: [F.size(_of("vec", ns)).alias(f"{side}_nnz_{ns}") for ns in SPACES]
+    entries = F.map_from_entries(F.transform("vec", lambda x: F.struct(x["id"], F.struct(x["ns"].alias("ns"), x["w"].alias("w")))))
+    mine = vectors.select(F.col("rec_id").alias("q_id"), F.transform("vec", lambda x: x["id"]).alias("q_keys"), F.col("norms").alias("q_norms"), *sizes("q"))
+    other = vectors.select(F.col("rec_id").alias("s1_id"), entries.alias("s_map"), F.col("norms").alias("s_norms"), *sizes("s"))
+    p = pairs.select("q_id", "s1_id").join(mine, "q_id", "left").join(other, "s1_id", "left").na.fill(0, [f"{x}_nnz_{ns}" for x in "qs" for ns in SPACES])
+    none = F.array().cast("array<bigint>")
+    p = p.withColumn("_shared", F.filter(F.transform(F.coalesce("q_keys", none), lambda x: F.try_element_at("s_map", x)), lambda x: x.isNotNull())).drop("q_keys", "s_map")
+    p = p.withColumn("_shared", F.coalesce("_shared", F.array().cast(p.schema["_shared"].dataType)))
+    out = {}
+    for k, ns in enumerate(SPACES):
+        own = _of("_shared", ns)
+        square = F.aggregate(own, F.lit(0.0), lambda total, x: total + x["w"] * x["w"])
+        either = F.col(f"q_nnz_{ns}") + F.col(f"s_nnz_{ns}") - F.size(own)
+        cos = F.coalesce(square * (F.col("s_norms")[k] / F.col("q_norms")[k]), F.lit(0.0))
+        out |= {f"cos_{ns}": cos, f"ovl_{ns}": F.size(own), f"jac_{ns}": F.when(either > 0, F.size(own) / either)}
+    return p.withColumns(out).drop("_shared", "q_norms", "s_norms")
 
 
 def long_cosines(wide: DataFrame) -> DataFrame:

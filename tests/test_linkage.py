@@ -253,3 +253,11 @@ def test_weights_by_parts(spark, monkeypatch):
     assert plan.count("Exchange") == 1
     share = lambda r: (str(r["rec_id"]), r["ns"], r["unseen"])
     assert sorted(map(share, features.unseen_left(feats, weighted).where("rec_id IS NOT NULL").collect())) == sorted(map(share, features.unseen(plain, stats).where("rec_id IS NOT NULL").collect()))
+
+
+def test_cosines_need_no_weights_of_queries(found, listed):
+    """Keys and norms are all that has to travel to a pair from its query record."""
+    vectors = features.vectors(found.weighted)
+    bare = vectors.withColumn("vec", F.when(F.col("rec_id").isin([r["q_id"] for r in listed.select("q_id").distinct().collect()]), F.transform("vec", lambda x: x.withField("w", F.lit(None).cast("double")))).otherwise(F.col("vec")))
+    one, two = ({(r["q_id"], r["s1_id"]): r for r in P.cosines(listed, v).collect()} for v in (vectors, bare))
+    assert len(one) > 100 and one == two
