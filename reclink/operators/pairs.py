@@ -90,6 +90,11 @@ def either_affix(a: Column, b: Column) -> Column:
 NATIVE_SIDES = ("nm", "nm_core", "nm_concat", "nm_tok", "ad", "ad_comp", "ad_first_num", "nm_native")
 
 
+def record_sizes(side: str = "") -> dict[str, Column]:
+    """Lengths and counts of a record's name and address; ``side`` is what its columns begin with."""
+    return {"nmlen": F.length(f"{side}nm_core"), "adlen": F.length(f"{side}ad"), "ncomp": F.size(f"{side}ad_comp"), "nmtok": F.size(f"{side}nm_tok")}
+
+
 def native_columns() -> dict[str, Column]:
     """Pair features that Spark computes itself: names, house numbers, legal forms, sizes. Null means not applicable."""
     a, b = F.col("q_ad_first_num"), F.col("s_ad_first_num")
@@ -97,14 +102,14 @@ def native_columns() -> dict[str, Column]:
     number = lambda x: F.substring(x, 1, 9).try_cast("bigint").cast("double")
     legal_q, legal_s = legal_tokens(F.col("q_nm")), legal_tokens(F.col("s_nm"))
     legal = (F.size(legal_q) > 0) & (F.size(legal_s) > 0)
+    sizes = {s: record_sizes(f"{s}_") for s in "qs"}
     return {
         "nm_concat_eq": (F.col("q_nm_concat") == F.col("s_nm_concat")).cast("int"),
         "fnum_eq": F.when(both, (a == b).cast("int")), "hn_lev": F.when(both, F.levenshtein(a, b)),
         "hn_logdiff": F.when(both, F.log1p(F.abs(number(a) - number(b)))), "hn_affix": F.when(both, either_affix(a, b).cast("int")),
         "hn_lendiff": F.when(both, F.length(a) - F.length(b)),
         "legal_both": legal.cast("int"), "legal_same": F.when(legal, F.arrays_overlap(legal_q, legal_s).cast("int")),
-        **{f"{s}_nmlen": F.length(f"{s}_nm_core") for s in "qs"}, **{f"{s}_adlen": F.length(f"{s}_ad") for s in "qs"},
-        **{f"{s}_ncomp": F.size(f"{s}_ad_comp") for s in "qs"}, **{f"{s}_nmtok": F.size(f"{s}_nm_tok") for s in "qs"}, "q_native": F.col("q_nm_native").cast("int"),
+        **{f"{s}_{n}": sizes[s][n] for n in sizes["q"] for s in "qs"}, "q_native": F.col("q_nm_native").cast("int"),
     }
 
 

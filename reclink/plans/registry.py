@@ -215,9 +215,11 @@ SELECT q_id, s1_id, q_src AS src, CAST(length(q_nm_core) AS INTEGER) AS q_nmlen,
 FROM both_ JOIN {_NF} x ON x.id = q_id JOIN {_NF} y ON y.id = s1_id""")
 def record_meta(spark, sf):
     p, recs = scored_records(spark, sf)
-    known = recs.join(blocking.name_frequency(recs), "entity_id")
-    both = pairs.sides(p, known, [*pairs.NATIVE_SIDES, "src", "name_freq"]).withColumns(pairs.native_columns())
-    return both.select("q_id", "s1_id", F.col("q_src").alias("src"), *[f"{s}_{c}" for c in ("nmlen", "adlen", "ncomp", "nmtok") for s in "qs"], "q_native", "q_name_freq", "s_name_freq")
+    # Only the numbers of a record travel to its pairs.
+    sizes = pairs.record_sizes()
+    own = recs.select("entity_id", "src", F.col("nm_native").cast("int").alias("native"), *[c.alias(n) for n, c in sizes.items()])
+    both = pairs.sides(p, own.join(blocking.name_frequency(recs), "entity_id"), ["src", "native", *sizes, "name_freq"])
+    return both.select("q_id", "s1_id", F.col("q_src").alias("src"), *[f"{s}_{c}" for c in sizes for s in "qs"], "q_native", "q_name_freq", "s_name_freq")
 
 
 @query(f"WITH {O.side('nm_concat')} SELECT q_id, s1_id, round({O.winkler('q_nm_concat', 's_nm_concat')}, 4) AS jw FROM both_")

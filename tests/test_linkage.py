@@ -261,3 +261,11 @@ def test_cosines_need_no_weights_of_queries(found, listed):
     bare = vectors.withColumn("vec", F.when(F.col("rec_id").isin([r["q_id"] for r in listed.select("q_id").distinct().collect()]), F.transform("vec", lambda x: x.withField("w", F.lit(None).cast("double")))).otherwise(F.col("vec")))
     one, two = ({(r["q_id"], r["s1_id"]): r for r in P.cosines(listed, v).collect()} for v in (vectors, bare))
     assert len(one) > 100 and one == two
+
+
+def test_meta_needs_no_texts(spark):
+    """Only numbers of a record travel to its pairs."""
+    plan = registry.record_meta(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(q_id" in x and "nm_tok" in x]
+    joined = [x for x in plan.splitlines() if "Project" in x and "q_nm" in x]
+    assert not [x for x in joined if "q_nm_tok" in x or "q_nm_core" in x or "q_ad#" in x]
