@@ -158,10 +158,13 @@ def topk(weighted: DataFrame, k: int = K.TOP_K, weights: dict[str, float] = K.WE
 
     A country's primary records are dealt in parts, its query records in blocks, and each part meets each block in one task, a cell. Only features
     travel, packed as numbers, a primary record's once to each block and a query record's once to each part; products are made and added up in the cell, and only
-    the best ``k`` leave it. A part and a block hold as much as a task's memory lets them, so there are few copies. Keys above the frequency bound left the product before.
+    the best ``k`` leave it. A part and a block hold as much as a task's memory lets them, so there are few copies. Keys above the frequency bound left the product before;
+    where ``weighted`` has ``met``, so do keys of primary records that no query record has, which add nothing to any score.
     """
     ns_weight = F.create_map(*[x for ns, w in weights.items() for x in (F.lit(ns), F.lit(w))])
     used = weighted.where(F.col("in_product") & F.col("ns").isin(*[ns for ns, w in weights.items() if w > 0]))
+    if "met" in weighted.columns:
+        used = used.where("met")
     grid, parts = _grid(used)
     primary = F.col("src") == 1
     w = F.when(primary, F.col("w")).otherwise(ns_weight[F.col("ns")] * F.col("w"))

@@ -98,19 +98,20 @@ def weights(feats: DataFrame, stats: DataFrame, unseen_idf: DataFrame | None = N
 def part_weights(records: DataFrame, stats: DataFrame) -> DataFrame:
     """The same as ``weights`` for the records of ``dealt``: not a record's features travel, but once to each part the statistics of those that it has.
 
-    Features are made again from the records after these have met the statistics, and stay in their part to the end.
+    Features are made again from the records after these have met the statistics, and stay in their part to the end. ``met`` tells whether others than
+    primary records have the feature, for without them it adds to no product.
     """
     n = records.agg(F.max("part")).first()[0]
     source = ("nm_parts", "nm_tok", "nm_concat", "ad_tok", "ad_num", "ad_code", "ad_first_num")
     mine = records.select("part", F.lit(True).alias("mine"), F.col("entity_id").alias("rec_id"), "src", "country", *source)
-    known = stats.select(F.explode(_parts()).alias("part"), F.lit(False).alias("mine"), "country", F.struct("ns", "key").alias("f"), "idf", "in_product")
+    known = stats.select(F.explode(_parts()).alias("part"), F.lit(False).alias("mine"), "country", F.struct("ns", "key").alias("f"), "idf", "in_product", (F.col("cdf") > F.col("df")).alias("met"))
     both = mine.unionByName(known, allowMissingColumns=True).repartitionById(1 + (n or 0), F.col("part"))
-    each = both.select("part", "mine", "rec_id", "src", "country", "idf", "in_product", F.explode(F.when(F.col("mine"), _every(K.WEIGHTS)).otherwise(F.array("f"))).alias("f"))
-    flat = each.select("part", "mine", "rec_id", "src", "country", "f.ns", "f.key", "idf", "in_product")
+    each = both.select("part", "mine", "rec_id", "src", "country", "idf", "in_product", "met", F.explode(F.when(F.col("mine"), _every(K.WEIGHTS)).otherwise(F.array("f"))).alias("f"))
+    flat = each.select("part", "mine", "rec_id", "src", "country", "f.ns", "f.key", "idf", "in_product", "met")
     of = Window.partitionBy("part", "country", "ns", "key")
-    met = flat.withColumns({"idf": F.max("idf").over(of), "in_product": F.max("in_product").over(of)}).where("mine AND idf IS NOT NULL")
+    found = flat.withColumns({c: F.max(c).over(of) for c in ("idf", "in_product", "met")}).where("mine AND idf IS NOT NULL")
     norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy("part", "rec_id", "ns")))
-    return met.withColumn("norm", norm).select("rec_id", "src", "country", "ns", "key", "in_product", "norm", (F.col("idf") / F.col("norm")).alias("w"))
+    return found.withColumn("norm", norm).select("rec_id", "src", "country", "ns", "key", "in_product", "met", "norm", (F.col("idf") / F.col("norm")).alias("w"))
 
 
 def six_spaces(records: DataFrame) -> DataFrame:

@@ -263,6 +263,19 @@ def test_cosines_need_no_weights_of_queries(found, listed):
     assert len(one) > 100 and one == two
 
 
+def test_only_keys_of_both_sides_are_dealt(found, monkeypatch):
+    """A key of primary records that no query record has adds to no score and does not travel; the lists stay as they are."""
+    seen = []
+    grid = blocking._grid
+    monkeypatch.setattr(blocking, "_grid", lambda used: seen.append(used) or grid(used))
+    key = lambda r: (r["q_id"], r["brank"], r["s1_id"], r["country"], r["bscore"])
+    short = sorted(map(key, blocking.topk(found.weighted).collect()))
+    whole = sorted(map(key, blocking.topk(found.weighted.drop("met")).collect()))
+    assert len(short) > 100 and short == whole
+    own, asked = ({(r["country"], r["ns"], r["key"]) for r in seen[0].where(side).collect()} for side in ("src = 1", "src > 1"))
+    assert own == asked and seen[0].count() < seen[1].count()
+
+
 def test_meta_needs_no_texts(spark):
     """Only numbers of a record travel to its pairs."""
     plan = registry.record_meta(spark, SF)._jdf.queryExecution().executedPlan().toString()
