@@ -117,8 +117,11 @@ def _cell_topk(primary: list[tuple], queries: list[tuple], k: int) -> Iterator[t
         yield q_names[q_code[a]], names[place[top]].tolist(), score[top]
 
 
-def _solve(k: int):
-    """A function for ``mapInArrow``: the top ``k`` of the query records of each cell, from its packed rows, which come together."""
+def _solve(k: int, pruned: bool = False):
+    """A function for ``mapInArrow``: the top ``k`` of the query records of each cell, from its packed rows, which come together.
+
+    With ``pruned`` only what ``prune`` can keep of a list leaves, with the list's length and its second score.
+    """
 
     def flush(held: dict[int, list[tuple]], country: str) -> Iterator[pa.RecordBatch]:
         if not (held[0] and held[1]):
@@ -133,11 +136,18 @@ def _solve(k: int):
             yield table(out, country)
 
     def table(out: list[tuple], country: str) -> pa.RecordBatch:
+        more = []
+        if pruned:
+            of = [(len(x), x[1] if len(x) > 1 else 0.0, min(K.KEEP, np.count_nonzero(x >= K.KEEP_RATIO * x.max(initial=0.0)))) for _, _, x in out]
+            out = [(q, s[:m], x[:m]) for (q, s, x), (_, _, m) in zip(out, of)]
+            more = [np.repeat([o[c] for o in of], [m for _, _, m in of]) for c in range(2)]
         n = [len(s) for _, s, _ in out]
         q = pa.array([q for (q, _, _), m in zip(out, n) for _ in range(m)], pa.string())
         ids = pa.array([x for _, s, _ in out for x in s], pa.string())
         rank = pa.array(np.concatenate([np.arange(m) for m in n]), pa.int32())
-        return pa.RecordBatch.from_arrays([q, ids, pa.array([country] * len(q), pa.string()), pa.array(np.concatenate([x for _, _, x in out]), pa.float64()), rank], ["q_id", "s1_id", "country", "bscore", "brank"])
+        columns = [q, ids, pa.array([country] * len(q), pa.string()), pa.array(np.concatenate([x for _, _, x in out]), pa.float64()), rank]
+        columns += [pa.array(x, kind) for x, kind in zip(more, (pa.int64(), pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, ["q_id", "s1_id", "country", "bscore", "brank", "n", "second"][: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, of, held = None, "", {0: [], 1: []}
@@ -153,14 +163,11 @@ def _solve(k: int):
     return run
 
 
-def topk(weighted: DataFrame, k: int = K.TOP_K, weights: dict[str, float] = K.WEIGHTS) -> DataFrame:
-    """``q_id, s1_id, country, bscore, brank``: the ``k`` primary records of the greatest weighted overlap. ``weighted`` should be stored.
+_LIST = "q_id string, s1_id string, country string, bscore double, brank int"
 
-    A country's primary records are dealt in parts, its query records in blocks, and each part meets each block in one task, a cell. Only features
-    travel, packed as numbers, a primary record's once to each block and a query record's once to each part; products are made and added up in the cell, and only
-    the best ``k`` leave it. A part and a block hold as much as a task's memory lets them, so there are few copies. Keys above the frequency bound left the product before;
-    where ``weighted`` has ``met``, so do keys of primary records that no query record has, which add nothing to any score.
-    """
+
+def _cells(weighted: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, int]:
+    """(packed rows of all cells, which come together, and the most parts of a country)."""
     ns_weight = F.create_map(*[x for ns, w in weights.items() for x in (F.lit(ns), F.lit(w))])
     used = weighted.where(F.col("in_product") & F.col("ns").isin(*[ns for ns, w in weights.items() if w > 0]))
     if "met" in weighted.columns:
@@ -171,7 +178,23 @@ def topk(weighted: DataFrame, k: int = K.TOP_K, weights: dict[str, float] = K.WE
     rows = used.select("rec_id", "country", primary.alias("primary"), F.xxhash64("rec_id").alias("dealt"), F.xxhash64("country", "ns", "key").alias("id"), w.alias("w"))
     packed = rows.mapInArrow(_spread(grid), "cells array<int>, side int, country string, recs array<string>, codes binary, keys binary, w binary")
     dealt = packed.select(F.explode("cells").alias("cell"), "side", "country", "recs", "codes", "keys", "w").repartition("cell").sortWithinPartitions("cell")
-    out = dealt.mapInArrow(_solve(k), "q_id string, s1_id string, country string, bscore double, brank int")
+    return dealt, parts
+
+
+def topk(weighted: DataFrame, k: int = K.TOP_K, weights: dict[str, float] = K.WEIGHTS) -> DataFrame:
+    """``q_id, s1_id, country, bscore, brank``: the ``k`` primary records of the greatest weighted overlap. ``weighted`` should be stored.
+
+    A country's primary records are dealt in parts, its query records in blocks, and each part meets each block in one task, a cell. Only features
+    travel, packed as numbers, a primary record's once to each block and a query record's once to each part; products are made and added up in the cell, and only
+    the best ``k`` leave it. A part and a block hold as much as a task's memory lets them, so there are few copies. Keys above the frequency bound left the product before;
+    where ``weighted`` has ``met``, so do keys of primary records that no query record has, which add nothing to any score.
+    """
+    cells, parts = _cells(weighted, weights)
+    return _ranked(cells, parts, k)
+
+
+def _ranked(cells: DataFrame, parts: int, k: int) -> DataFrame:
+    out = cells.mapInArrow(_solve(k), _LIST)
     if parts < 2:
         return out
     rank = F.row_number().over(Window.partitionBy("q_id", "country").orderBy(F.desc("bscore"), "s1_id")) - 1
@@ -181,7 +204,10 @@ def topk(weighted: DataFrame, k: int = K.TOP_K, weights: dict[str, float] = K.WE
 def context(top: DataFrame) -> DataFrame:
     """Add ``top1, top2, n_ret, gap_top1, top_margin, ratio_top1`` of the query record's list."""
     w = Window.partitionBy("q_id")
-    out = top.withColumns({"top1": F.max("bscore").over(w), "top2": F.coalesce(F.max(F.when(F.col("brank") == 1, F.col("bscore"))).over(w), F.lit(0.0)), "n_ret": F.count("*").over(w)})
+    return _derived(top.withColumns({"top1": F.max("bscore").over(w), "top2": F.coalesce(F.max(F.when(F.col("brank") == 1, F.col("bscore"))).over(w), F.lit(0.0)), "n_ret": F.count("*").over(w)}))
+
+
+def _derived(out: DataFrame) -> DataFrame:
     return out.withColumns({"gap_top1": F.col("bscore") - F.col("top1"), "top_margin": F.col("top1") - F.col("top2"), "ratio_top1": F.col("bscore") / F.col("top1")})
 
 
@@ -190,6 +216,18 @@ def prune(listed: DataFrame) -> DataFrame:
     return listed.where((F.col("brank") < K.KEEP) & (F.col("bscore") >= K.KEEP_RATIO * F.col("top1")))
 
 
+def pruned(weighted: DataFrame, k: int = K.TOP_K) -> DataFrame:
+    """The same as ``prune(context(topk(weighted, k)))``; where a country has one part, only what is kept leaves its task."""
+    cells, parts = _cells(weighted, K.WEIGHTS)
+    if parts > 1:
+        return prune(context(_ranked(cells, parts, k)))
+    w = Window.partitionBy("q_id")
+    first = lambda c: F.when(F.col("brank") == 0, F.col(c))
+    out = cells.mapInArrow(_solve(k, pruned=True), f"{_LIST}, n long, second double")
+    out = out.withColumns({"top1": F.max("bscore").over(w), "top2": F.max(first("second")).over(w), "n_ret": F.sum(first("n")).over(w)}).drop("n", "second")
+    return prune(_derived(out))
+
+
 def s1_context(kept: DataFrame) -> DataFrame:
     """``q_id, s1_id, s1_nq, s1_ntop1, s1_rank, s1_gap``: how a primary record's queries compete for it."""
     w = Window.partitionBy("s1_id")

@@ -63,7 +63,7 @@ def linked(spark: SparkSession, sf: str) -> Linked:
 
 def listed(found: Linked) -> DataFrame:
     """Pruned candidate lists, stored."""
-    return materialize(blocking.prune(blocking.context(blocking.topk(found.weighted))))
+    return materialize(blocking.pruned(found.weighted))
 
 
 def kept(spark: SparkSession, sf: str) -> DataFrame:

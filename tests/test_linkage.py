@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from reclink.functions import constants as K
 from reclink.operators import blocking, enrich, features, model
 from reclink.operators import pairs as P
 from reclink.plans import linkage, registry
@@ -276,6 +277,20 @@ def test_only_keys_of_both_sides_are_dealt(found, monkeypatch):
     assert own == asked and seen[0].count() < seen[1].count()
 
 
+@pytest.mark.parametrize("part", [blocking.PART, 150])
+def test_pruned_in_the_task(found, monkeypatch, part):
+    """Lists that are pruned where they are made are those of the whole lists, and with one part only kept pairs are shuffled."""
+    monkeypatch.setattr(blocking, "PART", part)
+    whole = blocking.prune(blocking.context(blocking.topk(found.weighted)))
+    short = blocking.pruned(found.weighted)
+    assert short.schema.simpleString() == whole.schema.simpleString()
+    rows = sorted(map(tuple, short.collect()))
+    assert len(rows) > 100 and rows == sorted(map(tuple, whole.collect()))
+    if part > 150:
+        lists = blocking._cells(found.weighted, K.WEIGHTS)[0].mapInArrow(blocking._solve(K.TOP_K, pruned=True), f"{blocking._LIST}, n long, second double")
+        assert lists.count() == len(rows) < blocking.topk(found.weighted).count() / 2
+
+
 def test_meta_needs_no_texts(spark):
     """Only numbers of a record travel to its pairs."""
     plan = registry.record_meta(spark, SF)._jdf.queryExecution().executedPlan().toString()
