@@ -127,6 +127,17 @@ def test_quality(spark, docs, rows, monkeypatch):
     assert quality.quality(empty(spark), labels).count() == 0
 
 
+def test_quality_scores_once(spark, docs, monkeypatch):
+    """The word arrays of labelled documents are not worked out a second time for the cuts, nor again by a filter on the verdict."""
+    calls, scored = [], quality.scored
+    monkeypatch.setattr(quality, "scored", lambda *a: calls.append(a) or scored(*a))
+    labels = spark.createDataFrame([(k, int(k < 40), 0) for k in range(50)], LABELS)
+    got = quality.quality(docs, labels, keep=["text"]).where("kept")
+    assert len(calls) == 1 and "xxhash64" not in got._jdf.queryExecution().optimizedPlan().toString()
+    full = by_id(quality.quality(docs, labels))
+    assert {r["doc_id"] for r in got.collect()} == {k for k, r in full.items() if r["kept"]}
+
+
 @pytest.mark.parametrize("size", ["0.001", "0.01"])
 def test_quality_out_of_sample(spark, size):
     """With half of the labels, clean documents of the other half stay; without labels the base rules alone decide."""
