@@ -6,7 +6,7 @@ holds all strings of which it is the anchor; a document is cut into about one re
 
 1. Regions (two polynomial hashes, place) are dealt by the anchor's hash. Regions that agree in both hashes are taken for repeats of
    the earliest of them. What agrees in the anchor only (the ends of repeated passages) is left open.
-2. Open regions are cut from the texts and dealt by anchor. There, strings are sorted as suffixes: by their first eight bytes, and
+2. Open regions are cut from the texts and dealt by anchor. There, strings whose hash another one shares are sorted as suffixes: by their first eight bytes, and
    among equals by a mergesort whose comparisons find the common extension by binary search over prefix polynomial
    hashes. Neighbours with a common extension of ``span`` bytes are compared byte by byte before they count as equal.
 3. Repeats of whole regions are verified as well. Neighbouring regions that repeat neighbouring ones join into one long span first. Spans inside
@@ -321,9 +321,22 @@ class SuffixOrder:
         eight = np.concatenate([data, np.zeros(8, np.uint8)])
         self.head = sum((eight[k : k + len(data)].astype(np.uint64) << np.uint64(56 - 8 * k) for k in range(8)), np.zeros(len(data), np.uint64))
 
+    def whole(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the strings at ``at``, which stand in the text as a whole."""
+        with np.errstate(over="ignore"):
+            return (self.prefix[at + self.span] - self.prefix[at]) * self.back[at]
+
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Length of the common extension of two strings whose first eight bytes agree, up to ``span``: binary search over lengths."""
-        low, high = np.full(len(x), 8), np.full(len(x), self.span)
+        """Length of the common extension of two strings whose first eight bytes agree, up to ``span``: binary search over lengths, for those that differ."""
+        low = np.full(len(x), self.span)
+        k = np.flatnonzero(self.whole(x) != self.whole(y))
+        if len(k):
+            low[k] = self.differing(x[k], y[k])
+        return low
+
+    def differing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """As ``common``, for strings that differ."""
+        low, high = np.full(len(x), 8), np.full(len(x), self.span - 1)
         with np.errstate(over="ignore"):
             while True:
                 live = low < high
@@ -385,6 +398,15 @@ class SuffixOrder:
         return out
 
 
+def shared(group: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the values that stand more than once in their group, in order."""
+    with np.errstate(over="ignore"):
+        h = mixed(h ^ mixed(group.view(np.uint64)))
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    return np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+
+
 def covered(group: np.ndarray, key: np.ndarray, mark: np.ndarray, place: np.ndarray, texts: list[bytes], span: int) -> tuple[np.ndarray, ...]:
     """(key, mark, start, stop) of spans covered by strings that occur earlier in a region of the same group."""
     first, count = place_start(place), place_count(place)
@@ -394,6 +416,11 @@ def covered(group: np.ndarray, key: np.ndarray, mark: np.ndarray, place: np.ndar
     step = np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count)
     at, start = begin[member] + step, first[member] + step
     strings = SuffixOrder(data, span)
+    # Equal strings have equal hashes: what shares its hash with no other of its group repeats nothing and is not sorted.
+    some = shared(group[member], strings.whole(at))
+    member, step, at, start = member[some], step[some], at[some], start[some]
+    if not len(at):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     order, segment = strings.sort(at, group[member])
     same = np.concatenate([[False], strings.equal_next(at[order], segment)])
     kind = np.empty(len(at), np.int64)

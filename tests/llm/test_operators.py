@@ -594,6 +594,22 @@ def test_suffix_sort_orders_by_content():
     assert same.tolist() == [a == b for a, b in zip(strings, strings[1:])]
 
 
+def test_suffixes_sort_only_what_repeats(monkeypatch):
+    """Strings whose hash no other string of their group has are left out of the sort, and nothing else is."""
+    r = np.random.default_rng(8)
+    passage = r.bytes(150)
+    texts = [r.bytes(70) + passage + r.bytes(80), r.bytes(20) + passage + r.bytes(130), passage + r.bytes(150)]
+    sizes, sort = [], suffixes.SuffixOrder.sort
+    monkeypatch.setattr(suffixes.SuffixOrder, "sort", lambda self, at, group: sizes.append(len(at)) or sort(self, at, group))
+    start = np.zeros(3, np.int64)
+    place = suffixes.pack_place(start, np.zeros(3, bool), np.full(3, 201))
+    # The third text has a group of its own.
+    found = suffixes.covered(np.array([5, 5, -6]), np.arange(3), start, place, texts, 100)
+    assert [x.tolist() for x in found] == [[1], [0], [20], [170]]
+    assert sizes == [2 * 51]
+    assert [len(x) for x in suffixes.covered(np.array([5, 6, 7]), np.arange(3), start, place, texts, 100)] == [0] * 4
+
+
 def brute_components(ids, linked):
     parent = {i: i for i in ids}
 
